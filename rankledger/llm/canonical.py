@@ -118,7 +118,7 @@ def add_form(df: DataFrame, value: str, out: str = "form", extra: str | None = N
         for b in batches:
             batch = pa.Table.from_batches([b]).rename_columns([names[c] for c in carried])  # noqa: F841 - the SQL reads it
             con.register("batch", batch)
-            done = con.execute(sql).fetch_arrow_table()
+            done = con.sql(sql).to_arrow_table()
             yield from done.rename_columns(carried + [out] + ([f"{out}_extra"] if extra else [])).to_batches()
             con.unregister("batch")
 

@@ -29,7 +29,7 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = field_values(spark, sf_dir).groupBy("table_name", "field_name", "value").agg(F.count(F.lit(1)).alias("n"))
     plain = values.where(~not_plain_ascii(F.col("value"))).withColumn("form", F.col("value"))
     formed = plain.unionByName(add_form(values.where(not_plain_ascii(F.col("value"))), "value"))
-    return formed.groupBy("table_name", "field_name", "form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("value_rows"), F.sum(F.when(F.col("form") <> F.col("value"), F.col("n")).otherwise(0)).alias("changed_rows"))
+    return formed.groupBy("table_name", "field_name", "form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("value_rows"), F.sum(F.when(F.col("form") != F.col("value"), F.col("n")).otherwise(0)).alias("changed_rows"))
 
 
 _VALUES = """(SELECT 'results' AS table_name, id AS row_id, 'published_name' AS field_name, published_name AS value FROM results WHERE published_name IS NOT NULL
