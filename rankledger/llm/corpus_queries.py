@@ -13,8 +13,8 @@ from .tokens import VOCABULARY, with_token_counts
 
 def _sized(spark: SparkSession, sf_dir: str, vocabulary: str, weighted: bool) -> Stored:
     """Every document with its number of tokens (and weight), counted once and written."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", *([quality(F.col("text")).alias("weight")] if weighted else []), "text")
-    return store(with_token_counts(docs, "text", "n_tokens", vocabulary), "sized")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return store(with_token_counts(docs, "text", "n_tokens", vocabulary, {"weight": quality} if weighted else None), "sized")
 
 
 def p7_pack(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -21,7 +21,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Stored
@@ -30,12 +32,25 @@ BUCKETS = 4096
 LEAST_WEIGHT = 0.01
 
 
-def quality(text: Column) -> Column:
+_LETTER, _HIDDEN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True  # one leading byte a letter beyond ASCII
+_HIDDEN[[9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)]] = True  # spaces, and what follows a leading byte
+_STOP, _SPACE = np.isin(np.arange(256), list(b".!?")), np.isin(np.arange(256), list(b" \t\r\n\f\v"))
+
+
+def quality(texts: pa.Array) -> np.ndarray:
     """Weight of a document, 0.05 to 1: its share of letters among visible characters, halved if no sentence ends."""
-    visible = F.length(F.regexp_replace(text, r"\s+", ""))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    share = letters / F.greatest(visible, F.lit(1))
-    return F.greatest(F.coalesce(share * F.when(text.rlike(r"[.!?](\s|$)"), 1.0).otherwise(0.5), F.lit(0.0)), F.lit(0.05))
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    out = np.zeros(len(texts))
+    for i in range(len(texts)):
+        raw = data[offsets[i] : offsets[i + 1]]
+        visible = len(raw) - np.count_nonzero(_HIDDEN[raw])
+        if visible:
+            ends = _STOP[raw[-1]] or np.any(_STOP[raw[:-1]] & _SPACE[raw[1:]])
+            out[i] = np.count_nonzero(_LETTER[raw]) / visible * (1.0 if ends else 0.5)
+    return np.maximum(out, 0.05)
 
 
 @dataclass(frozen=True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -40,15 +41,19 @@ def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
     return n + len(enc.encode_ordinary(text[at:]))
 
 
-def with_token_counts(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` without its text and with the number of its tokens; a null text has none."""
+def with_token_counts(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str = VOCABULARY, extra: dict[str, Callable[[pa.Array], np.ndarray]] | None = None) -> DataFrame:
+    """``df`` without its text and with the number of its tokens; a null text has none.
+
+    extra: further double columns, each by a function of the batch's texts, so that texts cross to Python once.
+    """
+    more = extra or {}
     kept = [(c, t) for c, t in df.dtypes if c != text]
     ordered = df.select(*[c for c, _ in kept], text)
-    schema = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in kept] + [f"{out} bigint"])
+    schema = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in kept] + [f"{out} bigint"] + [f"{name} double" for name in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pa.array([count_tokens(t, vocabulary) if t else 0 for t in b.column(len(kept)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], sizes], names=[*[c for c, _ in kept], out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], sizes, *[pa.array(f(b.column(len(kept))), pa.float64()) for f in more.values()]], names=[*[c for c, _ in kept], out, *more])
 
     return ordered.mapInArrow(run, schema)
