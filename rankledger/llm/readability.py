@@ -1,8 +1,9 @@
 """Reading level of each document: classic readability formulas, calibrated on labelled anchors, joined by their median.
 
-Counting is done by built-in regular-expression functions, so a document never leaves the JVM. Syllables follow
-hyphenation-style rules: a group of vowels is a syllable, but a silent final e, es or ed is none, and vowels that meet
-in hiatus (i before a, o, u outside -tion and the like; eo; ua) are two.
+Counting works on the bytes of whole Arrow batches with array operations, never word by word in Python (eight built-in
+regular expressions over each text took ten times the CPU). Syllables follow hyphenation-style rules: a group of vowels
+is a syllable, but a silent final e, es or ed is none, and vowels that meet in hiatus (i before a, o, u outside -tion
+and the like; eo; ua) are two.
 
 Five formulas give one estimate each, by the terms of Flesch-Kincaid (words a sentence, syllables a word), Gunning Fog
 (words a sentence, share of words of three syllables and more), SMOG (such words a sentence, syllables a word), ARI
@@ -11,16 +12,18 @@ coefficients give school grades; for the anchors' scale each formula keeps its t
 its coefficients are fitted by least squares on the anchors. The median of the five is cut at the borders between levels
 that misplace the fewest anchors.
 
-Lines of up to 120 characters without closing punctuation (headings, page lines, addresses), bracketed tags and
-character entities do not count as prose; a text that has nothing else is counted whole. Text without a single letter,
+Lines of up to 120 bytes without closing punctuation (headings, page lines, addresses) and words behind & or [ or / do
+not count as prose; a text that has nothing else is counted whole. Text without a single letter,
 empty or null has a null level. Letter case and spacing play no part. Documents stay as many rows as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,25 +34,95 @@ FORMULAS = {"flesch_kincaid": ("wps", "spw"), "fog": ("wps", "hard"), "smog": ("
 MAX_ANCHORS = 20_000
 
 
-def prose(text: Column) -> Column:
-    """Lower-cased text without headings, tags and entities."""
-    t = F.regexp_replace(F.lower(text), r"&#?\w{1,10};|https?://\S+|\[[^\]\n]{0,40}\]", " ")
-    kept = F.regexp_replace(t, r"(?m)^[^\n]{0,119}[^\s.!?\"”’)][ \t]*$|^[ \t]*\S?[ \t]*$", "")
-    return F.when(F.length(kept) * 3 >= F.length(t), kept).otherwise(t)
+def _lookup(chars: bytes, high: bool = False) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chars)] = True
+    out[128:] = high
+    return out
+
+
+_LETTER = _lookup(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", True)
+_INSIDE = _lookup(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'-", True)
+_VOWEL = _lookup(b"aeiouyAEIOUY", True)  # a letter beyond ASCII counts as a vowel
+_SPACE, _DIGIT, _STOP, _CLOSE = _lookup(b" \t\r\n\f\v"), _lookup(b"0123456789"), _lookup(b".!?"), _lookup(b"\"')")
+_SILENT = {end: _lookup(bytes(letters, "ascii")) for end, letters in (("e", "bcdfghjkmnpqrstvwxz"), ("s", "bdfhjkmnpqrtvw"), ("d", "bcfghjklmnpqrsvwxz"))}
+#: Shorter lines without closing punctuation are no prose.
+SHORT_LINE = 120
+#: Bytes that are counted at once, whole documents at least.
+BLOCK = 1 << 21
+
+
+def count_block(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """COUNTS of every document; raw: bytes of the documents, each closed by a line feed, ends: where they end (exclusive)."""
+    n = len(raw)
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    nxt = np.append(raw[1:], 10)
+    inside = _INSIDE[raw]
+    edge = np.diff(inside.astype(np.int8), prepend=0)
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a document ends with a line feed
+    line_end = np.flatnonzero(raw == 10)
+    visible = np.maximum.accumulate(np.where(_SPACE[raw], -1, np.arange(n, dtype=np.int64)))
+    last = visible[line_end]
+    first = np.append(0, line_end[:-1] + 1)
+    closed = np.where(last >= first, _STOP[raw[last]] | _CLOSE[raw[last]], False) | (raw[np.maximum(last, 0)] >= 128) & (raw[np.maximum(last - 2, 0)] == 0xE2)
+    heading = ~closed & (line_end - first < SHORT_LINE)
+    doc_of_line = np.searchsorted(ends, line_end, side="right")
+    size = np.diff(ends, prepend=0)
+    dropped = np.bincount(doc_of_line, weights=heading * (line_end - first), minlength=len(ends))
+    heading &= ~(dropped * 3 > size * 2)[doc_of_line]  # a text of such lines only is counted whole
+
+    vowel = _VOWEL[raw]
+    group = vowel & ~np.append(False, vowel[:-1])
+    prv = np.append(10, low[:-1])
+    aou = (low == 97) | (low == 111) | (low == 117)
+    soft = _lookup(b"tscgx")[np.append([10, 10], low[:-2])]
+    hiatus = (prv == 105) & aou & ~soft | (prv == 101) & (low == 111) | (prv == 117) & (low == 97) & ~_lookup(b"gq")[np.append([10, 10], low[:-2])]
+    sums = np.append(0, np.cumsum(group.astype(np.int32) + hiatus, dtype=np.int64))
+    letters_sum = np.append(0, np.cumsum(_LETTER[raw] & ((raw < 128) | (raw >= 0xC0)), dtype=np.int64))
+    vowels, letters = sums[stops] - sums[starts], letters_sum[stops] - letters_sum[starts]
+    z, y, x = low[stops - 1], low[np.maximum(stops - 2, 0)], low[np.maximum(stops - 3, 0)]
+    silent = (z == 101) & _SILENT["e"][y] | (z == 115) & (y == 101) & _SILENT["s"][x] | (z == 100) & (y == 101) & _SILENT["d"][x]
+    syllables = np.maximum(vowels - (silent & (vowels > 1)), 1)
+    before = raw[np.maximum(starts - 1, 0)]
+    keep = (letters > 0) & ~heading[np.searchsorted(line_end, starts)] & ~((starts > 0) & ((before == 38) | (before == 91) | (before == 47)))
+    doc = np.searchsorted(ends, starts, side="right")[keep]
+    per = lambda w=None: np.bincount(doc, weights=w, minlength=len(ends)).astype(float)
+
+    at = np.flatnonzero(_STOP[raw] & ~_STOP[nxt] & (_SPACE[nxt] | _CLOSE[nxt] | (nxt == 0xE2)))
+    follower = raw[np.minimum(at + 2, n - 1)]
+    at = at[~(_DIGIT[follower] & (nxt[at] == 32)) & ~heading[np.searchsorted(line_end, at)]]
+    sentences = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(ends)).astype(float)
+    syllables, letters = syllables[keep], letters[keep]
+    return np.stack([per(), np.maximum(sentences, 1), per(syllables), per(syllables >= 3), per(letters), per(letters > 6)], axis=1)
+
+
+def count_texts(texts: pa.Array) -> np.ndarray:
+    """COUNTS of every text of an Arrow string array; null counts as empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    out, i = [np.zeros((0, len(COUNTS)))], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
+        own = offsets[i : j + 1] - offsets[i]
+        block = np.insert(data[offsets[i] : offsets[j]], own[1:], 10)
+        out.append(count_block(block, own[1:] + np.arange(1, j - i + 1)))
+        i = j
+    return np.concatenate(out)
 
 
 def with_counts(df: DataFrame, text: str, out: str = "_counts") -> DataFrame:
-    df = df.withColumn("_prose", prose(F.col(text)))
-    t = F.col("_prose")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    silent = count(r"[aeiouyà-ÿ]\p{L}*[bcdfghjkmnpqrstvwxz]e\b|[aeiouyà-ÿ]\p{L}*[bdfhjkmnpqrtvw]es\b|[aeiouyà-ÿ]\p{L}*[bcfghjklmnpqrsvwxz]ed\b")
-    hiatus = count(r"(?<![tscgx])i[aou]|eo|(?<![gq])ua")
-    return df.withColumn(out, F.struct(
-        count(r"\p{L}[\p{L}'’\-]*").alias("words"),
-        F.greatest(count(r"[.!?]+[\"”’)]*(?=\s+[^\s\d]|\s*$)"), F.lit(1.0)).alias("sentences"),
-        (count(r"[aeiouyà-ÿ]+") + hiatus - silent).alias("syllables"),
-        count(r"[aeiouyà-ÿ]+[^\Waeiouyà-ÿ]+[aeiouyà-ÿ]+[^\Waeiouyà-ÿ]+(?!es?\b|ed\b)[aeiouyà-ÿ]\p{L}*").alias("hard_words"),
-        count(r"\p{L}").alias("letters"), count(r"\p{L}{7,}").alias("long_words"))).drop("_prose")
+    """``df`` with a struct of COUNTS in place of its text."""
+    kept = [(c, t) for c, t in df.dtypes if c != text]
+    schema = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in kept] + [f"`_n{i}` double" for i in range(len(COUNTS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = count_texts(b.column(len(kept)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))]], names=[*[c for c, _ in kept], *[f"_n{i}" for i in range(len(COUNTS))]])
+
+    counted = df.select(*[c for c, _ in kept], text).mapInArrow(run, schema)
+    return counted.select(*[c for c, _ in kept], F.struct(*[F.col(f"_n{i}").alias(c) for i, c in enumerate(COUNTS)]).alias(out))
 
 
 def terms(counts: str = "_counts") -> dict[str, Column]:
@@ -104,7 +177,7 @@ def _cut(score: np.ndarray, y: np.ndarray, below: int) -> float:
 
 
 def reading_levels(df: DataFrame, text: str, model: LevelModel) -> DataFrame:
-    """``df`` with the five estimates, their median and the level (bigint)."""
+    """``df`` without its text, with the five estimates, their median and the level (bigint)."""
     counted = with_counts(df, text)
     t = terms()
     counted = counted.withColumns({f"_{k}": v for k, v in t.items()})
