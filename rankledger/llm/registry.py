@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, linkage_queries, ranking_queries, reading_queries, survivor_queries, text_form_queries
+from . import corpus_queries, linkage_queries, ranking_queries, reading_queries, survivor_queries, text_form_queries, variant_queries
 
-_MODULES = [ranking_queries, text_form_queries, linkage_queries, survivor_queries, corpus_queries, reading_queries]
+_MODULES = [ranking_queries, text_form_queries, linkage_queries, variant_queries, survivor_queries, corpus_queries, reading_queries]
 
 
 def queries() -> dict:
