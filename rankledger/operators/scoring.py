@@ -33,7 +33,7 @@ def _by_tier(per_tier: dict[int, Column]) -> Column:
 
 
 def placement_points() -> Column:
-    return _by_tier({t: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("placement")) for t, v in PLACEMENT_POINTS.items()})
+    return _by_tier({t: F.try_element_at(F.array(*[F.lit(x) for x in v]), F.col("placement")) for t, v in PLACEMENT_POINTS.items()})
 
 
 def elimination_points(stage: Column) -> Column:
@@ -79,7 +79,7 @@ def score_national(df: DataFrame) -> DataFrame:
         F.when(p < 1, "INVALID_PLACEMENT").when((p <= 6) & ~stage.eqNullSafe("final"), "CONTRADICTORY_STAGE")
         .when(won & ~F.coalesce((stage == "final") & p.between(1, 6), F.lit(False)), "CONTRADICTORY_FINAL_ROUND")
     )
-    placed = F.element_at(F.array(*[F.lit(x) for x in NATIONAL_POINTS]), F.when(p.between(1, len(NATIONAL_POINTS)), p))
+    placed = F.try_element_at(F.array(*[F.lit(x) for x in NATIONAL_POINTS]), F.when(p.between(1, len(NATIONAL_POINTS)), p))
     base = F.coalesce(placed, F.when(stage == "quarterfinal", NATIONAL_ELIMINATION["quarterfinal"]).when(stage == "octafinal", NATIONAL_ELIMINATION["octafinal"]).otherwise(0))
     strong = F.coalesce(F.col("bonus_division") == F.col("division"), F.lit(False))
     n, d = NATIONAL_MULTIPLIER
