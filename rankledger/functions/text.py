@@ -14,9 +14,9 @@ SPACE = r"[\s\u0085   -     　]"
 # Round labels, letters and digits only, by the stage they mean.
 ROUND_LABELS = {
     "octafinal": "of octo octa octas octafinal octafinals octofinal octofinals roundof16 top16",
-    "quarterfinal": "qf qrt qrts qtr qtrs quarter quarterfinal quarterfinals quarters roundof8 top8 lannynaegelintutorial",
-    "semifinal": "sf sem sems semifinal semifinals semi semis roundof4 roundbeforefinal top4 michelecoodytutorial",
-    "final": "f exhibition final finals finalround championshipfinal jamescopelandexhibitionround",
+    "quarterfinal": "qf qrt qrts qtr qtrs quarter quarterfinal quarterfinals quarters roundof8 top8",
+    "semifinal": "sf sem sems semifinal semifinals semi semis roundof4 roundbeforefinal top4",
+    "final": "f exhibition final finals finalround championshipfinal",
 }
 # Event names of a division, as exact keys.
 DIVISION_KEYS = {"ix": ["international extemporaneous speaking", "international extemp", "ix"], "usx": ["united states extemporaneous speaking", "united states extemp", "usx"]}
@@ -78,9 +78,13 @@ def event_key(c: Column) -> Column:
     return F.regexp_replace(t, r"\s+(?:online|in person)$", "")
 
 
-def round_stage(label: Column) -> Column:
-    """Stage of a round label, tried again without trailing digits; null if unknown."""
-    names = F.create_map(*[F.lit(x) for stage, labels in ROUND_LABELS.items() for label_ in labels.split() for x in (label_, stage)])
+def round_stage(label: Column, named_rounds: dict[str, str] | None = None) -> Column:
+    """Stage of a round label, tried again without trailing digits; null if unknown.
+
+    named_rounds: further labels (letters and digits only) and their stages, such as rounds named after somebody.
+    """
+    known = {name: stage for stage, names in ROUND_LABELS.items() for name in names.split()} | (named_rounds or {})
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     key = F.regexp_replace(F.lower(label), r"[^a-z0-9]", "")
     return F.coalesce(F.try_element_at(names, key), F.try_element_at(names, F.regexp_replace(key, r"\d+$", "")))
 

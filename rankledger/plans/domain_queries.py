@@ -433,3 +433,74 @@ def set_04_distinct_structs(spark: SparkSession, sf: str) -> DataFrame:
 def set_06_union(spark: SparkSession, sf: str) -> DataFrame:
     ids = lambda t: table(spark, sf, t).where("competitor_id IS NOT NULL").select("competitor_id")
     return ids("awards").union(ids("standing_rows")).distinct()
+
+
+# Further filters, joins and projections ------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT id FROM editions WHERE status IN ('results-discovered', 'awaiting-results', 'provisional', 'final', 'corrected') AND discovered_from IS NOT NULL AND end_at IS NOT NULL")
+def flt_17_flt_18_ready_editions(spark: SparkSession, sf: str) -> DataFrame:
+    ready = F.col("status").isin("results-discovered", "awaiting-results", "provisional", "final", "corrected")
+    return table(spark, sf, "editions").where(ready & F.col("discovered_from").isNotNull() & F.col("end_at").isNotNull()).select("id").distinct()
+
+
+_LABELS = ["Extemp", "IX", "usx", "United States Extemp", "International  Extemp!"]
+
+
+@query("SELECT DISTINCT id FROM result_sets WHERE lower(event_name) IN ('extemp', 'ix', 'usx', 'united states extemp', 'international extemp')")
+def flt_06_eligible_label(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.text import exact_key
+
+    labels = F.broadcast(spark.createDataFrame([(x,) for x in _LABELS], "label string").select(exact_key(F.col("label")).alias("k")).distinct())
+    return distinct(spark, sf, "result_sets", "id", exact_key(F.col("event_name")).alias("k")).join(labels, "k", "left_semi").select("id")
+
+
+@query("SELECT count(DISTINCT id) FILTER (event_eligible = 1) AS eligible, count(DISTINCT id) FILTER (event_eligible IS DISTINCT FROM 1) AS rejected, event_division FROM result_sets GROUP BY event_division")
+def flt_09_eligible_split(spark: SparkSession, sf: str) -> DataFrame:
+    r = distinct(spark, sf, "result_sets", "id", "event_division", F.coalesce(F.col("event_eligible") == 1, F.lit(False)).alias("e"))
+    return r.groupBy("event_division").agg(F.count_if("e").alias("eligible"), F.count_if(~F.col("e")).alias("rejected"))
+
+
+@query("SELECT edition_id, event_key, count(DISTINCT division) = 1 AND min(division) <> 'combined' AS valid FROM results WHERE edition_id IS NOT NULL AND division IS NOT NULL GROUP BY 1, 2")
+def flt_12_division_validity(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "results").where("edition_id IS NOT NULL AND division IS NOT NULL").groupBy("edition_id", "event_key").agg(F.min("division").alias("_lo"), F.max("division").alias("_hi"))
+    return r.select("edition_id", "event_key", ((F.col("_lo") == F.col("_hi")) & (F.col("_lo") != "combined")).alias("valid"))
+
+
+@query("""SELECT r.id, k.rule FROM (SELECT DISTINCT id, event_division, correction FROM result_sets) r JOIN (VALUES ('ix', 0, 'ix-plain'), ('usx', 0, 'usx-plain'), ('ix', 1, 'ix-corrected')) k(d, c, rule) ON k.d = r.event_division AND k.c = r.correction""")
+def jon_03_rule_join(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame([("ix", 0, "ix-plain"), ("usx", 0, "usx-plain"), ("ix", 1, "ix-corrected")], "event_division string, correction int, rule string")
+    return distinct(spark, sf, "result_sets", "id", "event_division", "correction").join(F.broadcast(rules), ["event_division", "correction"]).select("id", "rule")
+
+
+@query("""SELECT DISTINCT a.id, a.edition_id, s.source_class, s.sha256, s.parser_version, e.season_id FROM awards a JOIN (SELECT DISTINCT id, source_class, sha256, parser_version FROM snapshots) s ON s.id = a.snapshot_id JOIN (SELECT DISTINCT id, season_id FROM editions) e ON e.id = a.edition_id""")
+def prj_06_jon_05_jon_10_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    a = distinct(spark, sf, "awards", "id", "edition_id", "snapshot_id")
+    s = distinct(spark, sf, "snapshots", F.col("id").alias("snapshot_id"), "source_class", "sha256", "parser_version")
+    e = distinct(spark, sf, "editions", F.col("id").alias("edition_id"), "season_id")
+    return a.join(s, "snapshot_id").join(e, "edition_id").select("id", "edition_id", "source_class", "sha256", "parser_version", "season_id").distinct()
+
+
+@query("SELECT DISTINCT e.id, l.canonical_name FROM editions e JOIN lineages l ON l.id = e.lineage_id")
+def jon_27_inner_drop_misses(spark: SparkSession, sf: str) -> DataFrame:
+    l = distinct(spark, sf, "lineages", F.col("id").alias("lineage_id"), "canonical_name")  # noqa: E741
+    return distinct(spark, sf, "editions", "id", "lineage_id").join(l, "lineage_id").select("id", "canonical_name").distinct()
+
+
+@query("""SELECT id, 'snapshot:' || sha256 AS snapshot_key, [{'code': 'A', 'snapshot': 'snapshot:' || sha256}, {'code': 'B', 'snapshot': 'snapshot:' || sha256}] AS diagnostics FROM (SELECT DISTINCT id, sha256 FROM snapshots WHERE sha256 IS NOT NULL)""")
+def prj_09_rewrite_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The new snapshot id goes into a set and into each of its nested diagnostics."""
+    s = distinct(spark, sf, "snapshots", "id", "sha256").where("sha256 IS NOT NULL").withColumn("snapshot_key", F.concat(F.lit("snapshot:"), "sha256"))
+    old = F.array(*[F.struct(F.lit(c).alias("code"), F.col("id").alias("snapshot")) for c in "AB"])
+    return s.select("id", "snapshot_key", F.transform(old, lambda d: d.withField("snapshot", F.col("snapshot_key"))).alias("diagnostics"))
+
+
+_LONG = "SELECT competitor_id AS id, any_value(registry_version) AS block, min(display_school || ' / ' || canonical_school_name) AS name FROM competitors GROUP BY 1"
+
+
+@query(f"""WITH n AS ({_LONG.replace('any_value', 'min')}) SELECT a.id AS left_id, b.id AS right_id FROM n a JOIN n b ON a.block = b.block AND a.id < b.id AND a.name <> b.name AND abs(length(a.name) - length(b.name)) * 50 <= greatest(length(a.name), length(b.name))
+  AND greatest(length(a.name), length(b.name)) >= 50 AND levenshtein(a.name, b.name) * 50 <= greatest(length(a.name), length(b.name))""")
+def jon_16_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Long names at least 98 % alike, over all competitors; DuckDB compares every pair of a block."""
+    n = table(spark, sf, "competitors").groupBy(F.col("competitor_id").alias("id")).agg(F.min("registry_version").alias("block"), F.min(F.concat("display_school", F.lit(" / "), "canonical_school_name")).alias("name"))
+    return identity.similar_pairs(n.where("name IS NOT NULL"), "block", "name", "id").toDF("left_id", "right_id")

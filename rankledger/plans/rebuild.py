@@ -92,3 +92,19 @@ ORACLE = {
   SELECT code, count(*) AS results FROM (SELECT CASE WHEN source_person_key IS NULL THEN 'PERSON_MISSING' WHEN n.n IS NULL THEN 'IDENTITY_UNRESOLVED' ELSE 'IDENTITY_AMBIGUOUS' END AS code FROM (SELECT DISTINCT id, result_set_id, edition_id, source_person_key FROM results) r
   JOIN sel ON sel.rsid = r.result_set_id JOIN (SELECT DISTINCT id FROM editions) e ON e.id = r.edition_id LEFT JOIN n ON n.k = r.source_person_key WHERE n.n IS DISTINCT FROM 1) GROUP BY 1""",
 }
+
+
+def publish_season(spark: SparkSession, sf: str, season: str, store, created_at: str) -> tuple[str, bool]:
+    """Publishes a season's standings, awards and leaders as a new version; (version, whether it is new).
+
+    The version id is the digest of the standings, so a rebuild that changes nothing publishes nothing.
+    """
+    from ..functions.canon import table_hash
+
+    out = rebuild(spark, sf)
+    own = {k: out[k].where(F.col("season_id") == season) for k in ("standings", "awards", "leaders")}
+    digest = table_hash(own["standings"], ["competitor_id", "points", "wins", "top_threes", "finals", "standing_rank"], ["standing_rank", "competitor_id"]).first()[0]
+    version = f"standings-{digest[:32]}"
+    if store.unchanged(season, digest):
+        return version, False
+    return version, store.publish(version, season, digest, created_at, own)

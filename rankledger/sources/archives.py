@@ -28,3 +28,12 @@ def season_errors(wide: DataFrame, fixed: list[str], name: str, total: str) -> D
     """Rows whose tournament cells do not add up to the published total."""
     sums = unpivot_season(wide, fixed).groupBy(name).agg(F.sum("points").alias("cells"))
     return wide.select(name, total).join(sums, name, "left").where(F.coalesce("cells", F.lit(0)) != F.coalesce(total, F.lit(0)))
+
+
+def reviewed_errors(packets: DataFrame, packet: str, name: str, place: str, places: int = 6) -> DataFrame:
+    """(packet, code) of reviewed packets that do not name exactly the places 1..n, or one name twice."""
+    key = F.lower(F.trim(name))
+    g = packets.groupBy(packet).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set(place)).alias("_p"), F.count_distinct(key).alias("_d"))
+    want = F.array(*[F.lit(i) for i in range(1, places + 1)])
+    code = F.when((F.col("_n") != places) | (F.col("_p") != want), "PLACES_INCOMPLETE").when(F.col("_d") != F.col("_n"), "NAME_REPEATED")
+    return g.select(packet, code.alias("code")).where("code IS NOT NULL")

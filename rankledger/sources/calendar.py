@@ -29,3 +29,18 @@ def page_title(html: str):
     """The first h1, else the first h2, else the title element."""
     found = [text.plain_text(F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)) for t in ("h1", "h2", "title")]
     return F.coalesce(*[F.when(f != "", f) for f in found])
+
+
+def attribute(html: str, name: str):
+    """(value, error) of an attribute that may occur once: DUPLICATE_ATTRIBUTE, or UNSAFE_ATTRIBUTE with < or > in it."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?i)\b{name}\s*=\s*[\"'](.*?)[\"']"), F.lit(1))
+    value = F.when(F.size(found) == 1, text.plain_text(F.try_element_at(found, F.lit(1))))
+    return value, F.when(F.size(found) > 1, "DUPLICATE_ATTRIBUTE").when(value.rlike("[<>]"), "UNSAFE_ATTRIBUTE")
+
+
+def details(pages: DataFrame, id_column: str, html: str, attributes: list[str]) -> DataFrame:
+    """(id, title, one column an attribute, error) of detail pages."""
+    parsed = {a: attribute(html, a) for a in attributes}
+    columns = [v.alias(a.replace("-", "_")) for a, (v, _) in parsed.items()]
+    missing = F.when(page_title(html).isNull(), "MISSING_TITLE")
+    return pages.select(F.col(id_column).alias("id"), page_title(html).alias("title"), *columns, F.coalesce(*[e for _, e in parsed.values()], missing).alias("error"))

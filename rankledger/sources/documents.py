@@ -151,10 +151,10 @@ def map_columns(tables: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     places = {}
     for field, names in aliases.items():
         hits = F.filter(F.transform("_h", lambda h, i: F.when(h.isin([n.lower() for n in names]), i)), lambda i: i.isNotNull())  # noqa: B023
-        places[field] = F.when(F.size(hits) == 1, F.element_at(hits, 1))
+        places[field] = F.when(F.size(hits) == 1, F.try_element_at(hits, F.lit(1)))
     heads = heads.select("id", F.size("_h").alias("_w"), *[p.alias(f"_at_{f}") for f, p in places.items()])
     missing = F.array_compact(F.array(*[F.when(F.col(f"_at_{f}").isNull(), F.lit(f)) for f in aliases]))
-    code = F.when(F.size(missing) > 0, F.concat(F.lit("COLUMN_"), F.element_at(missing, 1))).when(F.col("_w") != len(aliases), "EXTRA_COLUMN")
+    code = F.when(F.size(missing) > 0, F.concat(F.lit("COLUMN_"), F.try_element_at(missing, F.lit(1)))).when(F.col("_w") != len(aliases), "EXTRA_COLUMN")
     body = tables.where("row_no > 0").join(heads.withColumn("_code", code), "id")
     broken = tables.where("error IS NOT NULL").select("id", F.lit(None).cast("int").alias("row_no"), *[F.lit(None).cast("string").alias(f) for f in aliases], "error")
     cells = [F.when(F.col("_code").isNull(), F.try_element_at("cells", F.col(f"_at_{f}") + 1)).alias(f) for f in aliases]

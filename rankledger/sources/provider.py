@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators.scoring import NATIONAL_POINTS, STAGES
+from ..runtime import small
 
 _s = T.StringType()
 
@@ -93,7 +94,7 @@ def normalize(export: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame
     A result's stage is that of its round if it names one, else the deepest round it took part in. Preliminary rows,
     and numbers beyond the largest elimination round, are dropped; other rows without a stage are diagnosed.
     """
-    ev = events(export).join(F.broadcast(rules), ["category_id", "event_id"])
+    ev = events(export).join(small(rules), ["category_id", "event_id"])
     en = entries(export)
     sets = ev.select("event_id", "event_name", "lineage_id", "division", "labels", F.posexplode("result_sets").alias("set_no", "s"))
     sets = sets.where(is_published(F.col("s.published")) & F.array_contains("labels", F.col("s.label")))
@@ -154,7 +155,7 @@ def final_winners(export: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranks = F.filter(F.coalesce("b.scores", F.array().cast("array<struct<tag:string,value:bigint>>")), lambda x: F.lower(F.trim(x.tag)) == "rank")
     ballots = ballots.select("event_id", F.col("b.entry").alias("entry_id"), ranks.alias("ranks")).where(F.size("ranks") > 0)
     clash = ballots.where(F.size("ranks") > 1).select("event_id", F.lit("CONFLICTING_RANKS").alias("code")).distinct()
-    totals = ballots.groupBy("event_id", "entry_id").agg(F.sum(F.element_at("ranks", 1).value).alias("total"), F.count(F.lit(1)).alias("ballots"))
+    totals = ballots.groupBy("event_id", "entry_id").agg(F.sum(F.try_element_at("ranks", F.lit(1)).value).alias("total"), F.count(F.lit(1)).alias("ballots"))
     best = totals.groupBy("event_id").agg(F.min("total").alias("total"), F.min("ballots").alias("_lo"), F.max("ballots").alias("_hi"))
     uneven = best.where("_lo <> _hi").select("event_id", F.lit("UNEQUAL_BALLOTS").alias("code"))
     firsts = totals.join(best, ["event_id", "total"]).groupBy("event_id", "total").agg(F.min("entry_id").alias("entry_id"), F.count(F.lit(1)).alias("n"))
