@@ -14,7 +14,7 @@ finds its container by binary search in the recipes.
 
 Cases: an item larger than the capacity is split into full containers and one remainder, no other item is split; an
 item of size zero lies in some container without taking space (container 0 if there is none); null sizes count as
-zero; every row is an item of its own; an empty table gives an empty result; other columns play no part.
+zero; every row is an item of its own; no capacities or an empty table give an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -215,6 +215,8 @@ def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]
     Capacities are below 2^20.
     """
     spark = items.sparkSession
+    if not capacities:
+        return spark.createDataFrame([], f"pack_id bigint, container_id bigint, `{key}` {dict(items.dtypes)[key]}, piece bigint, token_from bigint, n_tokens bigint")
     options = F.explode(F.array(*[F.struct(F.lit(i).alias("_pack"), F.lit(c).cast("bigint").alias("_cap")) for i, (_, c) in enumerate(capacities)])).alias("_o")
     base = items.select(F.col(key).alias("_key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("_n"))
     each = base.select("_key", "_n", options).select("_key", "_n", "_o._pack", "_o._cap")

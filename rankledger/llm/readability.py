@@ -14,7 +14,7 @@ that misplace the fewest anchors.
 
 Lines of up to 120 bytes without closing punctuation (headings, page lines, addresses) and words behind & or [ or / do
 not count as prose; a text that has nothing else is counted whole. Text without a single letter,
-empty or null has a null level. Letter case and spacing play no part. Documents stay as many rows as they are.
+empty or null has a null level, and so has every text if no anchor has a text and a level. Letter case and spacing play no part. Documents stay as many rows as they are.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ class LevelModel:
 
     coefficients: dict[str, list[float]]
     cuts: list[tuple[int, float]]
-    lowest: int
+    lowest: int | None
 
 
 def _design(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def fit(anchors: DataFrame, text: str, level: str, key: str, limit: int = MAX_AN
     t = terms()
     got = rows.select(F.col(level).cast("int"), *t.values()).toPandas().to_numpy(dtype=float)
     if not len(got):
-        raise ValueError("no anchors with a text and a level")
+        return LevelModel({}, [], None)
     y, x = got[:, 0], {k: got[:, i + 1] for i, k in enumerate(t)}
     betas, estimates = {}, []
     for name, (a, b) in FORMULAS.items():
@@ -183,8 +183,8 @@ def reading_levels(df: DataFrame, text: str, model: LevelModel) -> DataFrame:
     counted = counted.withColumns({f"_{k}": v for k, v in t.items()})
     estimates = {}
     for name, (a, b) in FORMULAS.items():
-        k, p, q = model.coefficients[name], F.col(f"_{a}"), F.col(f"_{b}")
-        estimates[f"{name}_estimate"] = k[0] + p * k[1] + q * k[2] + p * p * k[3] + p * q * k[4] + q * q * k[5]
+        k, p, q = model.coefficients.get(name) or [None] * 6, F.col(f"_{a}"), F.col(f"_{b}")
+        estimates[f"{name}_estimate"] = F.lit(k[0]).cast("double") + p * k[1] + q * k[2] + p * p * k[3] + p * q * k[4] + q * q * k[5] if k[0] is not None else F.lit(None).cast("double")
     counted = counted.withColumns(estimates)
     middle = F.element_at(F.sort_array(F.array(*estimates)), len(estimates) // 2 + 1)
     counted = counted.withColumn("median_estimate", F.when(F.col("_counts.letters") > 0, middle))

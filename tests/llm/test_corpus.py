@@ -50,6 +50,7 @@ def test_pack_round_trip(spark):
 
 def test_pack_empty(spark):
     assert pack(spark.createDataFrame([], "doc int, n int"), "doc", "n", [(1, 10)]).collect() == []
+    assert pack(spark.createDataFrame([(1, 5)], "doc int, n int"), "doc", "n", []).collect() == []
     assert pack(spark.createDataFrame([(1, 0)], "doc int, n int"), "doc", "n", [(1, 10)]).collect()[0]["container_id"] == 0
 
 
@@ -69,14 +70,16 @@ def test_mix_shares_caps_and_order(spark):
         got = sum(source[d][1] * c for d, c in copies.items() if source[d][0] == p.source)
         assert abs(got - p.budget) <= 30 and abs(got / total - p.share) < 0.01
         assert all(copies.get(d, 0) in (p.epochs, p.epochs + 1) for d, (s, _) in source.items() if s == p.source)
-    again, _ = mix(sized, "doc", "src", "n", "w", targets, buckets=977)
-    assert {row["doc"]: row["copies"] for row in again.collect()} == copies
+    for buckets in (1, 977):  # one bucket is a plain sort of everything
+        again, _ = mix(sized, "doc", "src", "n", "w", targets, buckets=buckets)
+        assert {row["doc"]: row["copies"] for row in again.collect()} == copies
 
 
 def test_mix_without_anything(spark):
     assert mix_plan([], [("a", 1.0, 1)]) == [] and mix_plan([("a", 5)], [("a", 0.0, 1)]) == []
     empty = store(spark.createDataFrame([], "doc int, src string, n int, w double"), "t")
     assert mix(empty, "doc", "src", "n", "w", [("a", 1.0, 2)])[0].collect() == []
+    assert mix(store(spark.createDataFrame([(1, "a", 5, 1.0)], "doc int, src string, n int, w double"), "t"), "doc", "src", "n", "w", [])[0].collect() == []
 
 
 def test_quality():
@@ -92,3 +95,11 @@ def test_stretches_do_not_change_token_counts(monkeypatch):
     whole = count_tokens(text)
     monkeypatch.setattr(tokens, "STRETCH", 37)
     assert count_tokens(text) == whole
+
+
+def test_weights_favour_heavy_documents(spark):
+    rows = [(i, "a", 10, 1.0 if i % 2 else 0.1) for i in range(4000)] + [(9000, "b", 4000, 1.0)]
+    sized = store(spark.createDataFrame(rows, "doc int, src string, n int, w double"), "t")
+    used, _ = mix(sized, "doc", "src", "n", "w", [("a", 0.5, 1), ("b", 0.5, 1)])
+    odd = [row["doc"] % 2 for row in used.collect() if row["src"] == "a"]
+    assert 390 <= len(odd) <= 410 and sum(odd) / len(odd) > 0.8

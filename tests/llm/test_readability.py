@@ -1,4 +1,7 @@
+import os
+
 import pyarrow as pa
+import pytest
 
 from rankledger.llm.readability import COUNTS, count_texts, fit, reading_levels
 
@@ -32,3 +35,17 @@ def test_levels_nulls_and_clashing_columns(spark):
     got = [(r["id"], r["reading_level"], r["words"]) for r in reading_levels(docs, "text", model).collect()]
     assert sorted(got) == [(1, 1, "a"), (1, 1, "a"), (2, 5, "b"), (3, None, "c"), (4, None, "d"), (5, None, "e")] or sorted(got, key=lambda x: x[0]) == [(1, 1, "a"), (1, 1, "a"), (2, 5, "b"), (3, None, "c"), (4, None, "d"), (5, None, "e")]
     assert reading_levels(docs.where("id > 9"), "text", model).collect() == []
+    assert {r["reading_level"] for r in reading_levels(docs, "text", fit(anchors.where("k > 50"), "text", "level", "k")).collect()} == {None}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the anchors")
+def test_held_out_accuracy(spark):
+    anchors = spark.read.parquet("/root/testdata/sf0.001/reading_anchors.parquet")
+    right = total = 0
+    for k in range(3):
+        fold = "pmod(xxhash64(anchor_id), 3)"
+        model = fit(anchors.where(f"{fold} <> {k}"), "text", "reading_level", "anchor_id")
+        test = anchors.where(f"{fold} = {k}").withColumnRenamed("reading_level", "want")
+        for r in reading_levels(test, "text", model).select("want", "reading_level").collect():
+            right, total = right + (r["want"] == r["reading_level"]), total + 1
+    assert total == anchors.count() and right / total >= 0.95
