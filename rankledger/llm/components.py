@@ -42,13 +42,20 @@ def _shift_start(vertex: str, level: int, beta: float, reach: int):
 
 
 def _grow(edges: DataFrame, level: int, beta: float, reach: int) -> Stored:
-    """(_v, _c): the cluster of every vertex that has an edge; edges hold both directions."""
+    """(_v, _l): the cluster label of every vertex that has an edge; edges hold both directions.
+
+    Only vertices whose label got better in the step before make offers in the next one.
+    """
     own = edges.select(F.col("_a").alias("_v")).distinct()
-    labels = store(own.select("_v", F.struct(_shift_start("_v", level, beta, reach).alias("t"), F.col("_v").alias("c")).alias("_l")), "cc-labels")
-    for step in range(reach):
-        offers = edges.join(labels.df, edges["_a"] == labels.df["_v"]).where(F.col("_l.t") + 1 <= reach)
-        offers = offers.select(F.col("_b").alias("_v"), F.struct((F.col("_l.t") + 1).alias("t"), F.col("_l.c").alias("c")).alias("_l"))
-        grown = store(labels.df.unionByName(offers).groupBy("_v").agg(F.min("_l").alias("_l")), "cc-labels")
+    first = F.struct(_shift_start("_v", level, beta, reach).alias("t"), F.col("_v").alias("c"))
+    labels = store(own.select("_v", first.alias("_l"), F.lit(True).alias("_new")), "cc-labels")
+    for _ in range(reach):
+        senders = labels.df.where(F.col("_new") & (F.col("_l.t") + 1 <= reach)).select(F.col("_v").alias("_a"), "_l")
+        offers = edges.join(senders, "_a").select(F.col("_b").alias("_v"), F.struct((F.col("_l.t") + 1).alias("t"), F.col("_l.c").alias("c")).alias("_l"))
+        offers = offers.groupBy("_v").agg(F.min("_l").alias("_o"))
+        better = F.coalesce(F.col("_o") < F.col("_l"), F.lit(False))
+        met = labels.df.select("_v", "_l").join(offers, "_v", "left")
+        grown = store(met.select("_v", F.when(better, F.col("_o")).otherwise(F.col("_l")).alias("_l"), better.alias("_new")), "cc-labels")
         labels.drop()
         labels = grown
     return labels
