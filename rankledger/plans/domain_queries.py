@@ -155,11 +155,11 @@ def grf_07_jon_18_contradictions(spark: SparkSession, sf: str) -> DataFrame:
     return identity.contradictory(r, "k", "event", "source_entry_id")
 
 
-@query("""SELECT competitor_id AS component, min(source_person_key) AS seed, 'competitor:' || sha256(min(source_person_key)) AS competitor_id, list_sort(list(DISTINCT source_person_key)) AS keys, count(*) AS records
+@query("""SELECT competitor_id AS component, min(source_person_key) AS seed, 'competitor:' || sha256(min(source_person_key)) AS competitor_id, array_to_string(list_sort(list(DISTINCT source_person_key)), ',') AS keys, count(*) AS records
   FROM (SELECT DISTINCT source_person_key, competitor_id FROM identity_matches WHERE source_person_key IS NOT NULL AND competitor_id IS NOT NULL) GROUP BY 1""")
 def grf_08_hsh_02_materialize(spark: SparkSession, sf: str) -> DataFrame:
     m = distinct(spark, sf, "identity_matches", F.col("source_person_key").alias("key"), F.col("competitor_id").alias("component")).where("key IS NOT NULL AND component IS NOT NULL")
-    return identity.competitors(m, "component", "key", "key", "key").select("component", F.col("display").alias("seed"), "competitor_id", "keys", "records")
+    return identity.competitors(m, "component", "key", "key", "key").select("component", F.col("display").alias("seed"), "competitor_id", F.array_join("keys", ",").alias("keys"), "records")
 
 
 @query("""WITH e AS (SELECT DISTINCT source_person_key AS k, competitor_id AS c FROM identity_matches WHERE source_person_key IS NOT NULL AND competitor_id IS NOT NULL),
@@ -263,13 +263,13 @@ def jon_31_unique_name(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT competitor_id, max(points) AS points, max(wins) AS wins FROM standing_rows WHERE standings_version_id <= 'sv-000000050' GROUP BY 1), b AS (SELECT competitor_id, max(points) AS points, max(wins) AS wins FROM standing_rows WHERE standings_version_id > 'sv-000000050' GROUP BY 1)
-  SELECT competitor_id, status, CASE WHEN status = 'differs' THEN list_filter([CASE WHEN ap IS DISTINCT FROM bp THEN 'points' END, CASE WHEN aw IS DISTINCT FROM bw THEN 'wins' END], lambda x: x IS NOT NULL) END AS fields FROM (
+  SELECT competitor_id, status, CASE WHEN status = 'differs' THEN array_to_string(list_filter([CASE WHEN ap IS DISTINCT FROM bp THEN 'points' END, CASE WHEN aw IS DISTINCT FROM bw THEN 'wins' END], lambda x: x IS NOT NULL), ',') END AS fields FROM (
   SELECT competitor_id, a.points AS ap, b.points AS bp, a.wins AS aw, b.wins AS bw, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.points IS DISTINCT FROM b.points OR a.wins IS DISTINCT FROM b.wins THEN 'differs' END AS status
   FROM (SELECT *, 1 AS k FROM a) a FULL JOIN (SELECT *, 1 AS k FROM b) b USING (competitor_id)) WHERE status IS NOT NULL""")
 def jon_32_full_diff(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "standing_rows")
     side = lambda cond: s.where(cond).groupBy("competitor_id").agg(F.max("points").alias("points"), F.max("wins").alias("wins"))
-    return checks.full_diff(side("standings_version_id <= 'sv-000000050'"), side("standings_version_id > 'sv-000000050'"), ["competitor_id"], ["points", "wins"])
+    return checks.full_diff(side("standings_version_id <= 'sv-000000050'"), side("standings_version_id > 'sv-000000050'"), ["competitor_id"], ["points", "wins"]).withColumn("fields", F.array_join("fields", ","))
 
 
 @query("SELECT DISTINCT source_person_key AS k FROM results WHERE won_final_round = 1 AND source_person_key IS NOT NULL AND source_person_key NOT IN (SELECT source_person_key FROM identity_matches WHERE source_person_key IS NOT NULL)")
@@ -324,9 +324,9 @@ def agg_16_val_01_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return checks.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT edition_id, list_sort(list(DISTINCT division)) AS divisions FROM results GROUP BY 1")
+@query("SELECT edition_id, array_to_string(list_sort(list(DISTINCT division)), ',') AS divisions FROM results GROUP BY 1")
 def agg_17_sorted_set(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "results").groupBy("edition_id").agg(F.array_sort(F.collect_set("division")).alias("divisions"))
+    return table(spark, sf, "results").groupBy("edition_id").agg(F.array_join(F.array_sort(F.collect_set("division")), ",").alias("divisions"))
 
 
 @query("SELECT published_name, max(n) > 1 AS repeated FROM (SELECT published_name, edition_id, event_key, division, count(DISTINCT source_entry_id) AS n FROM results WHERE published_name IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1")
@@ -487,12 +487,12 @@ def jon_27_inner_drop_misses(spark: SparkSession, sf: str) -> DataFrame:
     return distinct(spark, sf, "editions", "id", "lineage_id").join(l, "lineage_id").select("id", "canonical_name").distinct()
 
 
-@query("""SELECT id, 'snapshot:' || sha256 AS snapshot_key, [{'code': 'A', 'snapshot': 'snapshot:' || sha256}, {'code': 'B', 'snapshot': 'snapshot:' || sha256}] AS diagnostics FROM (SELECT DISTINCT id, sha256 FROM snapshots WHERE sha256 IS NOT NULL)""")
+@query("""SELECT id, 'snapshot:' || sha256 AS snapshot_key, '[{"code":"A","snapshot":"snapshot:' || sha256 || '"},{"code":"B","snapshot":"snapshot:' || sha256 || '"}]' AS diagnostics FROM (SELECT DISTINCT id, sha256 FROM snapshots WHERE sha256 IS NOT NULL)""")
 def prj_09_rewrite_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The new snapshot id goes into a set and into each of its nested diagnostics."""
     s = distinct(spark, sf, "snapshots", "id", "sha256").where("sha256 IS NOT NULL").withColumn("snapshot_key", F.concat(F.lit("snapshot:"), "sha256"))
     old = F.array(*[F.struct(F.lit(c).alias("code"), F.col("id").alias("snapshot")) for c in "AB"])
-    return s.select("id", "snapshot_key", F.transform(old, lambda d: d.withField("snapshot", F.col("snapshot_key"))).alias("diagnostics"))
+    return s.select("id", "snapshot_key", F.to_json(F.transform(old, lambda d: d.withField("snapshot", F.col("snapshot_key")))).alias("diagnostics"))
 
 
 _LONG = "SELECT competitor_id AS id, any_value(registry_version) AS block, min(display_school || ' / ' || canonical_school_name) AS name FROM competitors GROUP BY 1"

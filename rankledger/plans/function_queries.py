@@ -241,10 +241,10 @@ def arr_01_quantifiers(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("l_orderkey", F.exists("q", lambda x: x > 25).alias("any_large"), F.forall("q", lambda x: x > 5).alias("all_over"), total.alias("doubled"))
 
 
-@query("SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS flags, CAST(count(DISTINCT l_returnflag) AS INT) AS n, list_min(list(l_returnflag)) AS first_flag, list_contains(list(l_returnflag), 'R') AS has_r FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS flags, CAST(count(DISTINCT l_returnflag) AS INT) AS n, list_min(list(l_returnflag)) AS first_flag, list_contains(list(l_returnflag), 'R') AS has_r FROM lineitem GROUP BY 1")
 def arr_02_sets(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
-    return d.select("l_orderkey", "flags", F.size("flags").alias("n"), F.try_element_at("flags", F.lit(1)).alias("first_flag"), F.array_contains("flags", "R").alias("has_r"))
+    return d.select("l_orderkey", F.array_join("flags", ",").alias("flags"), F.size("flags").alias("n"), F.try_element_at("flags", F.lit(1)).alias("first_flag"), F.array_contains("flags", "R").alias("has_r"))
 
 
 @query("""SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || ',"nested":{"a":null,"b":' || n_regionkey || '}}' AS canonical FROM nation""")

@@ -93,12 +93,12 @@ def prj_03_win_11_agg_08_participation(spark: SparkSession, sf: str) -> DataFram
     return best.select("event_id", "entry_id", F.try_element_at(F.array(*[F.lit(s) for s in ("octafinal", "quarterfinal", "semifinal", "final")]), F.col("d")).alias("stage"))
 
 
-@query("""SELECT CAST(c_nationkey AS VARCHAR) AS document, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS row_no, [c_name, c_mktsegment] AS cells FROM customer""")
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS document, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS row_no, c_name || '|' || c_mktsegment AS cells FROM customer""")
 def src_06_win_07_srt_08_pdf_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Two texts a line, five units apart, the second one unit lower: the clustering has to put them back together."""
     c = table(spark, sf, "customer").withColumn("_y", 1e6 - F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) * 5)
     cell = lambda what, x, drop: c.select(F.col("c_nationkey").cast("string").alias("document"), F.lit(1).alias("page_number"), F.col(what).alias("text"), F.lit(x).alias("x"), (F.col("_y") - drop).alias("y"), F.lit(5.0).alias("width"))
-    return pdf_rows.cluster_rows(cell("c_name", 1.0, 0.0).unionByName(cell("c_mktsegment", 50.0, 1.0))).select("document", "row_no", "cells")
+    return pdf_rows.cluster_rows(cell("c_name", 1.0, 0.0).unionByName(cell("c_mktsegment", 50.0, 1.0))).select("document", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query("""SELECT policy_version_id AS id, CAST(tier AS VARCHAR) AS tournament, 'https://cal.example/t?tourn_id=' || tier AS href, min_by(canonical_name, id) AS title FROM (SELECT DISTINCT id, policy_version_id, tier, canonical_name FROM lineages) GROUP BY policy_version_id, tier""")

@@ -17,7 +17,7 @@ def projected_results(spark: SparkSession, sf_dir: str, places: int = 24) -> Dat
     d = F.col("o_orderdate")
     o = o.select(
         "o_orderkey", "o_custkey", "o_totalprice",
-        F.when(F.month(d) >= 8, F.year(d)).otherwise(F.year(d) - 1).alias("season_start"),
+        F.when(F.month(d) >= 8, F.year(d)).otherwise(F.year(d) - 1).cast("bigint").alias("season_start"),
         (F.col("o_orderkey") % 21).cast("int").alias("lineage_ix"),
         F.expr("CASE o_orderstatus WHEN 'F' THEN 'ix' WHEN 'O' THEN 'usx' ELSE 'combined' END").alias("division"),
     )
