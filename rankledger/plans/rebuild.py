@@ -1,7 +1,8 @@
 """The season rebuild as one plan: arbitration, identity, scoring, best award, frozen leaders, national pass, standings.
 
-Two passes over the awards depend on each other (the national events' bonus needs the interim leaders), but stay one
-DAG: the leaders are at most 25 rows a season and the bonus one row a season.
+Two passes over the awards depend on each other: the national events' bonus needs the interim leaders. What both read,
+the mapped results and the first pass's awards, is written once; the leaders are at most 25 rows a season and the bonus
+one row a season. Nothing is decided on the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arbitration, checks, scoring, standings
-from ..runtime import table
+from ..runtime import store, table
 from .domain_queries import GROUP, _SETS, distinct, sets_to_arbitrate
 
 LEADERS = 25
@@ -41,8 +42,9 @@ def best_awards(scored: DataFrame) -> DataFrame:
 def rebuild(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """awards, interim, leaders, bonus, standings and diagnostics of all seasons."""
     results, lost = mapped_results(spark, sf)
+    results = store(results, "rebuild-results").df  # read by both passes
     ordinary = results.where("tier > 1").withColumns({"top_six_only": F.lit(False), "final_credit_limit": F.lit(6)})
-    first = best_awards(withhold_events(scoring.score(ordinary)))
+    first = store(best_awards(withhold_events(scoring.score(ordinary))), "rebuild-first").df
     interim = standings.standings(first, ["season_id"], "competitor_id")
     leaders = standings.frozen_top(interim, ["season_id"], LEADERS, ["competitor_id"]).select("season_id", "competitor_id", "position")
     national = results.where("tier = 1 AND division <> 'combined'")
@@ -81,7 +83,7 @@ def e1_rebuild_standings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e1_jon_07_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return rebuild(spark, sf)["diagnostics"].groupBy("code").agg(F.count(F.lit(1)).alias("results"))
+    return mapped_results(spark, sf)[1].groupBy("code").agg(F.count(F.lit(1)).alias("results"))
 
 
 QUERIES = {"e1_rebuild_standings": e1_rebuild_standings, "e1_jon_07_diagnostics": e1_jon_07_diagnostics}
@@ -94,7 +96,7 @@ ORACLE = {
 }
 
 
-def publish_season(spark: SparkSession, sf: str, season: str, store, created_at: str) -> tuple[str, bool]:
+def publish_season(spark: SparkSession, sf: str, season: str, versions, created_at: str) -> tuple[str, bool]:
     """Publishes a season's standings, awards and leaders as a new version; (version, whether it is new).
 
     The version id is the digest of the standings, so a rebuild that changes nothing publishes nothing.
@@ -105,6 +107,6 @@ def publish_season(spark: SparkSession, sf: str, season: str, store, created_at:
     own = {k: out[k].where(F.col("season_id") == season) for k in ("standings", "awards", "leaders")}
     digest = table_hash(own["standings"], ["competitor_id", "points", "wins", "top_threes", "finals", "standing_rank"], ["standing_rank", "competitor_id"]).first()[0]
     version = f"standings-{digest[:32]}"
-    if store.unchanged(season, digest):
+    if versions.unchanged(season, digest):
         return version, False
-    return version, store.publish(version, season, digest, created_at, own)
+    return version, versions.publish(version, season, digest, created_at, own)
