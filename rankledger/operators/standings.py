@@ -42,6 +42,11 @@ def competition_rank(total: DataFrame, season: list[str]) -> DataFrame:
 
 
 def frozen_top(total: DataFrame, season: list[str], n: int, name_order: list[str]) -> DataFrame:
-    """The first n rows of each season by metrics, then names: positional, so ties do not widen it."""
+    """The first n rows of each season by metrics, then names: positional, so ties do not widen it.
+
+    Where the ranks are there already, only rows of rank n or better are ordered: the leaders and their ties.
+    """
+    if "standing_rank" in total.columns:
+        total = total.where(F.col("standing_rank") <= n)
     w = Window.partitionBy(*season).orderBy(*[F.desc(m) for m in METRICS], *name_order)
     return total.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
