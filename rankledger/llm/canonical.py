@@ -127,4 +127,4 @@ def add_form(df: DataFrame, value: str, out: str = "form", extra: str | None = N
 
 def not_plain_ascii(column) -> Column:
     """A cheap filter on the JVM's side: printable ASCII is its own canonical form."""
-    return ~column.rlike(r"^[\x20-\x7E]*$")
+    return ~column.rlike(r"\A[\x20-\x7E]*\z")

@@ -1,6 +1,6 @@
 import unicodedata
 
-from rankledger.llm.canonical import add_form
+from rankledger.llm.canonical import add_form, not_plain_ascii
 
 CASES = {
     "Plain O'Neil-Smith": None, "José Núñez": None, "Søren Łukasz": None, "Павел Хромайский": None, "Γιώργος": None, "김다솔": None, "佐々木": None, "The “Open”": None, "O’Hara": None, "": None, "  two  spaces ": None, "IVAN Öz": None,
@@ -35,3 +35,9 @@ def test_full_width_agrees_with_nfkc(spark):
 
 def test_empty(spark):
     assert add_form(spark.createDataFrame([], "value string"), "value").collect() == []
+
+
+def test_a_final_line_end_is_not_plain(spark):
+    values = ["Ann Lee", "", *("Ann Lee" + end for end in ("\n", "\r", "\r\n", "\x85", "\u2028", "\u2029"))]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    assert {r["value"] for r in df.where(not_plain_ascii(df["value"])).collect()} == set(values[2:])
