@@ -50,9 +50,9 @@ def job_rows(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
     return events.select(F.sha2(body, 256).alias("job_id"), F.col(key).alias("job_key"), bucket.alias("scheduled_for"), F.col(at).alias("at"))
 
 
-def dedup_jobs(jobs: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Each job once; a repeat within the watermark's delay is recognised."""
-    return jobs.withWatermark("at", delay).dropDuplicatesWithinWatermark(["job_id"]).select("job_id", "job_key", "scheduled_for")
+def dedup_jobs(jobs: DataFrame) -> DataFrame:
+    """Each job once, however late its rows come: without a watermark all job ids stay in the state."""
+    return jobs.dropDuplicates(["job_id"]).select("job_id", "job_key", "scheduled_for")
 
 
 RETRY_OUT = "job_id string, attempts int, state string, wait_seconds int"

@@ -20,6 +20,12 @@ def test_dedup_over_batches(spark, tmp_path):
     assert sorted((r["job_key"], str(r["scheduled_for"])) for r in got) == [(1, "2024-01-01 08:17:00"), (1, "2024-01-02 08:17:00"), (2, "2024-01-01 08:17:00")]
 
 
+def test_dedup_keeps_late_jobs_and_knows_old_ones(spark, tmp_path):
+    parts = [[(1, D(2024, 1, d, 3)), (2, D(2024, 1, d, 3))] for d in (20, 12, 5, 1, 20, 1)]
+    got = jobs.run_to_end(jobs.dedup_jobs(jobs.job_rows(frame(spark, tmp_path, parts, "k int, ts timestamp_ntz"), "k", "ts", "collect"))).collect()
+    assert sorted((r["job_key"], r["scheduled_for"].day) for r in got) == [(k, d) for k in (1, 2) for d in (1, 5, 12, 20)]
+
+
 def test_retry_states_keep_across_batches(spark, tmp_path):
     rows = [[("a", 1, False), ("b", 1, True), ("c", 1, False)], [("a", 2, False), ("a", 3, False), ("b", 2, False)], [("a", 4, False), ("a", 5, True), ("c", 2, True)]]
     stream = frame(spark, tmp_path, rows, "job_id string, seq long, ok boolean")
