@@ -12,7 +12,8 @@ first claim of its group's field, so the work is linear in the claims, however m
 posterior decides nothing; without it the value of the highest posterior is taken.
 
 Cases: null and blank values claim nothing; a group without any value for a field gets null value, record and
-posterior for it; rows of one record id count once (the smallest row); a null source is a source of its own; a null
+posterior for it; a source's latest claim replaces its earlier ones, whose values (posterior null, if no other source
+claims them) come behind every other value; rows of one record id count once (the smallest row); a null source is a source of its own; a null
 instant counts as the latest; equal posteriors: the smaller value, then the smaller record id; null group keys are
 equal to each other; an empty table gives an empty result; other columns play no part.
 """
@@ -29,9 +30,10 @@ from ..runtime import Stored, small, store
 
 @dataclass(frozen=True)
 class Fusion:
-    """Parameters of the model."""
+    """Parameters of the model; rounds end early once no source's accuracy moves by more than the tolerance."""
 
-    rounds: int = 3
+    rounds: int = 6
+    tolerance: float = 0.01
     false_values: int = 10
     first_accuracy: float = 0.8
     copy_share: float = 0.8
@@ -102,16 +104,30 @@ def value_posteriors(records: DataFrame, group: list[str], record: str, source:
     """Stored (_g, _f, _val, _post), source accuracies (_src, _acc) and copying (_src, _orig, _dep)."""
     claims = store(_starred(claims_of(records, group, record, source, instant, fields)), "fuse-claims")
     accuracy = copies = None
-    for _ in range(model.rounds):
+    for _ in range(max(model.rounds, 1)):
         post = _posteriors(claims.df, accuracy and accuracy.df, copies and copies.df, model)
         judged = store(claims.df.join(post, ["_g", "_f", "_val"]), "fuse-judged")
+        old = accuracy, copies
         accuracy = store(_accuracies(judged.df, model), "fuse-accuracy")
         copies = store(_copying(judged.df, accuracy.df, model), "fuse-copies")
         judged.drop()
-    final = store(_posteriors(claims.df, accuracy and accuracy.df, copies and copies.df, model), "fuse-posteriors")
+        moved = _moved(old[0] and old[0].df, accuracy.df, model)
+        for o in old:
+            if o:
+                o.drop()
+        if moved <= model.tolerance:
+            break
+    final = store(_posteriors(claims.df, accuracy.df, copies.df, model), "fuse-posteriors")
+    claims.drop()
     return final, accuracy, copies
 
 
+def _moved(old: DataFrame | None, new: DataFrame, m: Fusion) -> float:
+    """The largest change of a source's accuracy: one number."""
+    before = old.select("_src", F.col("_acc").alias("_was")) if old is not None else new.select("_src", F.lit(m.first_accuracy).alias("_was"))
+    return new.join(before, "_src").agg(F.max(F.abs(F.col("_acc") - F.col("_was")))).first()[0] or 0.0
+
+
 def fuse(records: DataFrame, group: list[str], record: str, source: str, instant: str, fields: list[str], precedence: list[Column] | None = None, model: Fusion = Fusion()) -> DataFrame:
     """One row a group: the surviving record, and for each field its value, the record it is from and its posterior.
 
@@ -120,7 +136,9 @@ def fuse(records: DataFrame, group: list[str], record: str, source: str, instant
     """
     whole = F.struct(*[F.col(c) for c in records.columns if c != record])
     rows = store(records.where(F.col(record).isNotNull()).groupBy(record).agg(F.min(whole).alias("_w")).select(record, "_w.*"), "fuse-records")
-    post, _, _ = value_posteriors(rows.df, group, record, source, instant, fields, model)
+    post, *spent = value_posteriors(rows.df, group, record, source, instant, fields, model)
+    for done in spent:
+        done.drop()
     order = [p.alias(f"o{i}") for i, p in enumerate(precedence or [])]
     base = rows.df.select(F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("_g"), *[F.col(g) for g in group], F.col(record).alias("_rid"), F.struct(*order, F.lit(0).alias("z")).alias("_o"),
                           *[_blank_to_null(f).alias(f"_v{i}") for i, f in enumerate(fields)])
@@ -130,7 +148,8 @@ def fuse(records: DataFrame, group: list[str], record: str, source: str, instant
     mean = sum((F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) for i in range(len(fields))), F.lit(0.0)) / max(len(fields), 1)
     picks = [F.min(F.struct(F.col("_o"), (-mean).alias("m"), F.col("_rid").alias("r"))).alias("_best")]
     for i in range(len(fields)):
-        seen = F.struct(F.col("_o"), (-F.col(f"_p{i}")).alias("p"), F.col(f"_v{i}").alias("v"), F.col("_rid").alias("r"))
+        p = F.col(f"_p{i}")  # null: the value's own source has replaced it
+        seen = F.struct(F.col("_o"), p.isNull().alias("u"), (-p).alias("p"), F.col(f"_v{i}").alias("v"), F.col("_rid").alias("r"))
         picks.append(F.min(F.when(F.col(f"_v{i}").isNotNull(), seen)).alias(f"_f{i}"))
     out = base.groupBy("_g", *group).agg(*picks, F.count(F.lit(1)).alias("records"))
     columns = [F.col("_best.r").alias(f"surviving_{record}"), "records"]

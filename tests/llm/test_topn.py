@@ -1,4 +1,7 @@
 import random
+from decimal import Decimal
+
+import pytest
 
 from rankledger.llm.topn import top_n
 
@@ -43,3 +46,17 @@ def test_wide_scores_and_empty(spark):
     check(spark, rows, 3, 64)
     check(spark, [], 3, 64)
     check(spark, [("g", "i", None, None), ("g", "j", None, None)], 1, 64)
+
+
+def test_fractional_scores_are_not_rounded(spark):
+    def order(kind, values, n=9):
+        df = spark.createDataFrame([("g", i, v) for i, v in zip("abcdefghij", values)], f"g string, i string, s {kind}")
+        return "".join(r["i"] for r in sorted(top_n(df, "g", "i", ["s"], n).collect(), key=lambda r: r["position"]))
+
+    assert order("double", [1.4, 1.1, 1.2, 0.6], 2) == "ac"
+    assert order("double", [-0.5, None, float("-inf"), 0.0, -0.0, 1e-300, float("inf"), -1e300]) == "gfdeahcb"
+    assert order("float", [1.5, 1.25, 1.75]) == "cab"
+    assert order("decimal(12,4)", [Decimal("-0.05"), Decimal("1.0001"), Decimal("1.0002"), None, Decimal("-7")]) == "cbaed"
+    assert order("bigint", [2**63 - 1, -(2**63), 0]) == "acb"
+    with pytest.raises(TypeError):
+        order("string", ["x", "y"])
