@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 
 from ..runtime import Stored, store, table
 from .mixing import SourcePlan, mix, quality
-from .packing import pack
+from .packing import Fit, pack
 from .tokens import VOCABULARY, with_token_counts
 
 
+#: Most rows of pack_sizes and of mix_targets, which are read to the driver.
+MAX_PACKS, MAX_TARGETS = 64, 100_000
+
+
 def _sized(spark: SparkSession, sf_dir: str, vocabulary: str, weighted: bool) -> Stored:
     """Every document with its number of tokens (and weight), counted once and written."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return store(with_token_counts(docs, "text", "n_tokens", vocabulary, {"weight": quality} if weighted else None), "sized")
 
 
-def p7_pack(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    capacities = [(r[0], r[1]) for r in table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").where("capacity_tokens > 0").orderBy("pack_id").collect()]
+def _packed(spark: SparkSession, sf_dir: str, vocabulary: str) -> tuple[DataFrame, list[Fit]]:
+    capacities = [(r[0], r[1]) for r in table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("pack_id").limit(MAX_PACKS + 1).collect()]
+    if len(capacities) > MAX_PACKS:
+        raise ValueError(f"at most {MAX_PACKS} pack sizes at once")
     return pack(_sized(spark, sf_dir, vocabulary, False).df, "doc_id", "n_tokens", capacities)
 
 
+def p7_pack(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return _packed(spark, sf_dir, vocabulary)[0]
+
+
 def p7_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """For each pack: containers, items, tokens and the share of all space that they fill."""
-    each = p7_pack(spark, sf_dir, vocabulary).groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("items"))
-    sizes = F.broadcast(table(spark, sf_dir, "pack_sizes").select(F.col("pack_id").cast("bigint").alias("pack_id"), F.col("capacity_tokens").cast("bigint").alias("capacity")))
-    out = each.groupBy("pack_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("n").alias("tokens"), F.max("n").alias("fullest")).join(sizes, "pack_id")
+    """For each pack: containers, items, tokens, the share of all space that they fill, and the share of the tokens that a pattern placed."""
+    packed, fits = _packed(spark, sf_dir, vocabulary)
+    each = packed.groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("items"))
+    asked = spark.createDataFrame([(f.pack_id, f.capacity, round(f.pattern_tokens / max(f.tokens, 1), 6)) for f in fits], "pack_id bigint, capacity bigint, by_patterns double")
+    out = each.groupBy("pack_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("n").alias("tokens"), F.max("n").alias("fullest")).join(F.broadcast(asked), "pack_id")  # at most MAX_PACKS rows
     return out.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 

@@ -37,7 +37,7 @@ def test_pack_round_trip(spark):
     rows = [(i, r.choice([None, 0, 1, 3, 7, 9, 10, 11, 25, 30]), "x") for i in range(500)]
     df = spark.createDataFrame(rows, "doc int, n int, _pack string")
     used, seen = defaultdict(int), defaultdict(int)
-    for row in pack(df, "doc", "n", [(4, 10), (9, 64)], bucket_rows=20).collect():
+    for row in pack(df, "doc", "n", [(4, 10), (9, 64)], bucket_rows=20)[0].collect():
         used[row["pack_id"], row["container_id"]] += row["n_tokens"]
         seen[row["pack_id"], row["doc"]] += row["n_tokens"]
         assert row["token_from"] == row["piece"] * {4: 10, 9: 64}[row["pack_id"]]
@@ -49,9 +49,45 @@ def test_pack_round_trip(spark):
 
 
 def test_pack_empty(spark):
-    assert pack(spark.createDataFrame([], "doc int, n int"), "doc", "n", [(1, 10)]).collect() == []
-    assert pack(spark.createDataFrame([(1, 5)], "doc int, n int"), "doc", "n", []).collect() == []
-    assert pack(spark.createDataFrame([(1, 0)], "doc int, n int"), "doc", "n", [(1, 10)]).collect()[0]["container_id"] == 0
+    assert pack(spark.createDataFrame([], "doc int, n int"), "doc", "n", [(1, 10)])[0].collect() == []
+    assert pack(spark.createDataFrame([(1, 5)], "doc int, n int"), "doc", "n", [])[0].collect() == []
+    assert pack(spark.createDataFrame([(1, 0)], "doc int, n int"), "doc", "n", [(1, 10)])[0].collect()[0]["container_id"] == 0
+
+
+def test_many_packs_and_refused_capacities(spark):
+    df = spark.createDataFrame([(i, i % 40) for i in range(200)], "doc int, n int")
+    capacities = [(p, 30 + p) for p in range(12)]
+    rows, fits = pack(df, "doc", "n", capacities)
+    used = defaultdict(int)
+    for row in rows.collect():
+        used[row["pack_id"], row["container_id"]] += row["n_tokens"]
+    assert all(v <= 30 + p for (p, _), v in used.items()) and {p for p, _ in used} == set(range(12))
+    assert sum(used.values()) == 12 * sum(i % 40 for i in range(200)) == sum(f.tokens for f in fits)
+    for wrong in (0, 1 << 20):
+        with pytest.raises(ValueError):
+            pack(df, "doc", "n", [(1, wrong)])
+
+
+@pytest.mark.parametrize("capacity", [512, 2048, 8192])
+def test_patterns_carry_the_tokens(capacity):
+    r = random.Random(capacity)
+    histogram = defaultdict(int)
+    for _ in range(20_000):
+        n = max(int(r.lognormvariate(5.3, 0.9)), 1)
+        while n > capacity:
+            histogram[capacity] += 1
+            n -= capacity
+        histogram[n] += n > 0
+    recipes = plan(dict(histogram), capacity)
+    tokens = sum(s * n for s, n in histogram.items())
+    assert sum(x.fitted * x.count for x in recipes) >= 0.8 * tokens
+    assert tokens >= 0.99 * capacity * sum(x.count for x in recipes)
+    held = defaultdict(int)
+    for x in recipes:
+        assert x.used <= capacity and x.fitted <= x.used
+        for s, m in x.sizes.items():
+            held[s] += m * x.count
+    assert held == histogram
 
 
 def test_mix_shares_caps_and_order(spark):
