@@ -6,6 +6,8 @@ CASES = {
     "Plain O'Neil-Smith": None, "José Núñez": None, "Søren Łukasz": None, "Павел Хромайский": None, "Γιώργος": None, "김다솔": None, "佐々木": None, "The “Open”": None, "O’Hara": None, "": None, "  two  spaces ": None, "IVAN Öz": None,
     "Ｊａｎｅ": "Jane", "Jóse": "Jóse", "a b": "a b", "a　b": "a b", "Mi​ke": "Mike", "so­ft": "soft", "Саm": "Cam", "Vеra Н Smith": "Vera H Smith", "ﬁeld": "field", "𝐑𝐚𝐯𝐢": "Ravi", "Οrlο": "Orlo",
     "Тaрвелин": "Тарвелин", "가": "가", "Jo﻿hn": "John", "Coop Ⅷ": "Coop VIII", "Καλoς": "Καλος",
+    "ϲat": "cat", "ϲοφόϲ": "σοφός", "Ϲat": "Cat", "ɑвbey": "aвbey", "Дaвid Brown": "Давіԁ Brown", "ᴊᴀɴᴇ": "JANE", "ǀsaac": "lsaac", "A\u3164b": "Ab", "A\u2800b": "A b", "A\u115fb": "Ab",
+    "می\u200cخواهم": None, "क्\u200dष": None, "\U0001f469\u200d\u2764\ufe0f\u200d\U0001f468": None, "می\u200c": "می", "a\u200db": "ab", "\u200dक": "क", "x\ufe0f": "x", "a\ufdd0b": "ab", "김\u200d다": "김다",
 }
 
 
