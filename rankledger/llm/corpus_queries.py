@@ -42,7 +42,9 @@ def p7_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
 
 
 def _mixture(spark: SparkSession, sf_dir: str, vocabulary: str) -> tuple[DataFrame, list[SourcePlan]]:
-    targets = [(r[0], r[1], r[2]) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").orderBy("source").collect()]
+    targets = [(r[0], r[1], r[2]) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").distinct().orderBy("source").limit(MAX_TARGETS + 1).collect()]
+    if len(targets) > MAX_TARGETS:
+        raise ValueError(f"at most {MAX_TARGETS} sources with a target")
     return mix(_sized(spark, sf_dir, vocabulary, True), "doc_id", "source", "n_tokens", "weight", targets)
 
 

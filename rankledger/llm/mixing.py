@@ -1,10 +1,11 @@
 """One mixture of several sources with target shares of all tokens.
 
 The total is the largest that keeps every target share without any source passing its cap: the least, over the
-sources, of tokens x max_repeats / share. A source's budget is its share of that total; as many complete epochs of the
-source as fit come first, and the rest is filled by a weighted sample without replacement after Efraimidis and
-Spirakis: every document draws the key -ln(u) / weight from a hash of its id, and documents are taken in the order of
-their keys while their summed tokens stay within the rest, the next one too if that comes closer to it.
+sources, of tokens x max_repeats / share; a smaller total can be asked for. A source's budget is its share of that total;
+as many complete epochs of the source as fit come first, and the rest is filled by a weighted sample without replacement
+after Efraimidis and Spirakis: every document draws the key -ln(u) / weight from a hash of its id, and documents are
+taken in the order of their keys while their summed tokens stay within the rest, the next one too if that comes closer
+to it.
 
 The keys are never sorted as a whole. They fall into ``BUCKETS`` buckets by a monotone function; the buckets' token
 sums (combined on the map side) tell which buckets lie before the border, and only the border's bucket of each source
@@ -12,12 +13,14 @@ is ordered. The plan on the driver has one row a source that has a target.
 
 Cases: a source without a target, a null source, and a target source without tokens give no rows, the last one does
 not bind the total; equal keys go by the smaller id; a document without tokens costs nothing and is used like others;
-every row is a document of its own; a null or non-positive weight counts as the least weight; an empty table gives an
-empty result; other columns play no part.
+rows of one id are one document (the smallest row by source, tokens and weight stands), rows without an id cannot be
+named and are left out; a null or non-positive weight counts as the least weight; an empty table gives an empty result;
+other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -26,31 +29,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Stored
+from ..runtime import Stored, store
 
 BUCKETS = 4096
 LEAST_WEIGHT = 0.01
 
 
-_LETTER, _HIDDEN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True  # one leading byte a letter beyond ASCII
-_HIDDEN[[9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)]] = True  # spaces, and what follows a leading byte
-_STOP, _SPACE = np.isin(np.arange(256), list(b".!?")), np.isin(np.arange(256), list(b" \t\r\n\f\v"))
+# Frequent English, Spanish and French function words; running text has many of them, lists have few.
+FUNCTION_WORDS = frozenset("the of and to a in that is was for it with as on be at by i this had not are but from or have an they which you were her she he his we their there been has when who will more if no out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over me even most made after also did many de la que el en y los se del las un por con una su para es al lo como le les des est une du dans qui pour pas sur au plus ne par ce il".split())
+
+
+def quality_of(text: str) -> float:
+    """Weight of one text, 0.05 to 1: the geometric mean of five signals that tell running prose from lists and debris.
+
+    Share of letters among visible characters; share of function words (a fifth is plenty); share of lines that end a
+    sentence or go on; how many of the words differ, by Heaps' law (0.6 of the root-like growth expected is plenty); and
+    how near the mean word length is to 3 to 9 letters.
+    """
+    words = text.split()
+    if not words:
+        return 0.05
+    visible = sum(map(len, words))
+    letters = sum(map(str.isalpha, text)) / visible
+    bare = [w.strip(".,;:!?\"'()[]").lower() for w in words]
+    function = min(sum(map(FUNCTION_WORDS.__contains__, bare)) / len(words) / 0.2, 1.0)
+    lines = [line for line in text.splitlines() if line.strip()]
+    ended = sum(line.rstrip()[-1] in ".!?:;,\"')”" or len(line) > 60 for line in lines) / len(lines)
+    fresh = min(len(set(bare)) / (len(words) ** 0.8 * 0.6), 1.0)
+    length = visible / len(words)
+    usual = min(length / 3, 1.0, 9 / length)
+    signals = (letters, 0.1 + 0.9 * function, 0.1 + 0.9 * ended, fresh, usual)
+    return max(math.prod(max(x, 1e-6) for x in signals) ** (1 / len(signals)), 0.05)
 
 
 def quality(texts: pa.Array) -> np.ndarray:
-    """Weight of a document, 0.05 to 1: its share of letters among visible characters, halved if no sentence ends."""
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    out = np.zeros(len(texts))
-    for i in range(len(texts)):
-        raw = data[offsets[i] : offsets[i + 1]]
-        visible = len(raw) - np.count_nonzero(_HIDDEN[raw])
-        if visible:
-            ends = _STOP[raw[-1]] or np.any(_STOP[raw[:-1]] & _SPACE[raw[1:]])
-            out[i] = np.count_nonzero(_LETTER[raw]) / visible * (1.0 if ends else 0.5)
-    return np.maximum(out, 0.05)
+    """``quality_of`` every text of an Arrow array; null counts as empty."""
+    return np.array([quality_of(t or "") for t in texts.to_pylist()], dtype=float)
 
 
 @dataclass(frozen=True)
@@ -63,13 +77,18 @@ class SourcePlan:
     rest: int
 
 
-def plan(totals: list[tuple[str, int]], targets: list[tuple[str, float, int]]) -> list[SourcePlan]:
-    """Budgets by exact fractions; targets are (source, share, max_repeats)."""
+def plan(totals: list[tuple[str, int]], targets: list[tuple[str, float, int]], total: int | None = None) -> list[SourcePlan]:
+    """Budgets by exact fractions; targets are (source, share, max_repeats), one a source, else ValueError; total: at most so many tokens."""
+    named = [t[0] for t in targets if t[0] is not None]
+    if len(named) != len(set(named)):
+        raise ValueError("a source has several targets")
     have = dict(totals)
     live = [(s, Fraction(p).limit_denominator(10**9), r) for s, p, r in targets if s is not None and p and p > 0 and r and r > 0 and have.get(s)]
     if not live:
         return []
     whole = min(Fraction(have[s] * r) / p for s, p, r in live)
+    if total is not None:
+        whole = min(whole, Fraction(total))
     out = []
     for s, p, r in live:
         budget = min(int(p * whole), have[s] * r)
@@ -77,16 +96,18 @@ def plan(totals: list[tuple[str, int]], targets: list[tuple[str, float, int]]) -
     return out
 
 
-def mix(sized: Stored, key: str, source: str, tokens: str, weight: str, targets: list[tuple[str, float, int]], seed: int = 7, buckets: int = BUCKETS) -> tuple[DataFrame, list[SourcePlan]]:
+def mix(sized: Stored, key: str, source: str, tokens: str, weight: str, targets: list[tuple[str, float, int]], seed: int = 7, buckets: int = BUCKETS, total: int | None = None) -> tuple[DataFrame, list[SourcePlan]]:
     """((key, source, tokens, copies), plan): every document that is used, and how often."""
     spark = sized.df.sparkSession
-    totals = sized.df.where(F.col(source).isin([t[0] for t in targets if t[0] is not None])).groupBy(source).agg(F.sum(tokens)).collect()
-    plans = plan([(r[0], int(r[1] or 0)) for r in totals], targets)
+    one = F.min(F.struct(F.col(source).alias("s"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"), F.col(weight).cast("double").alias("w")))
+    once = store(sized.df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(one.alias("_x")).select("_key", F.col("_x.s").alias("_source"), F.col("_x.n").alias("_n"), F.col("_x.w").alias("_w")), "mix-documents").df
+    totals = once.join(F.broadcast(spark.createDataFrame([(t[0],) for t in targets if t[0] is not None], "_source string")), "_source").groupBy("_source").agg(F.sum("_n")).collect()  # one row a target
+    plans = plan([(r[0], int(r[1] or 0)) for r in totals], targets, total)
     rows = [(p.source, p.epochs, p.rest) for p in plans]
     wanted = F.broadcast(spark.createDataFrame(rows, "_source string, _epochs bigint, _rest bigint"))
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**52)).cast("double") + 1) / float(2**52 + 1)
-    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
-    docs = sized.df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(tokens).alias("_n"), (-F.log(u) / w).alias("_k")).join(wanted, "_source")
+    u = (F.pmod(F.xxhash64(F.col("_key"), F.lit(seed)), F.lit(2**52)).cast("double") + 1) / float(2**52 + 1)
+    w = F.greatest(F.coalesce(F.col("_w"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    docs = once.select("_key", "_source", "_n", (-F.log(u) / w).alias("_k")).join(wanted, "_source")
     docs = docs.withColumn("_b", F.least(F.floor((1 - F.exp(-F.col("_k") / 2)) * buckets), F.lit(buckets - 1)).cast("int"))
     sums = docs.groupBy("_source", "_rest", "_b").agg(F.sum("_n").alias("_s"))
     upto = F.sum("_s").over(Window.partitionBy("_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))

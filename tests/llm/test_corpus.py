@@ -119,8 +119,21 @@ def test_mix_without_anything(spark):
 
 
 def test_quality():
-    got = quality(pa.array(["All is well. ", "no end", "1234 5678", None, "", "é!"]))
-    assert got[0] > 0.8 and got[1] == 0.5 and list(got[2:5]) == [0.05] * 3 and got[5] == 0.5
+    prose = "The judges of the final round were at the school by nine. They spoke with every speaker, and it was clear that all had read the news."
+    got = quality(pa.array([prose, "no end", "1234 5678", None, "", "ab " * 200, "\n".join(f"Name {i} School {i}" for i in range(40))]))
+    assert got[0] > 0.85 and all(got[0] > x for x in got[1:]) and list(got[2:5]) == [got[2], 0.05, 0.05] and got[2] < 0.1
+    assert got[5] < 0.5 and got[6] < 0.5
+
+
+def test_a_repeated_key_is_one_document(spark):
+    rows = [(1, "a", 10, 1.0), (1, "a", 10, 1.0), (2, "a", 10, 1.0), (3, "b", 20, 1.0), (3, "b", 20, 1.0), (None, "a", 10, 1.0)]
+    sized = store(spark.createDataFrame(rows, "doc int, src string, n int, w double"), "t")
+    used, plans = mix(sized, "doc", "src", "n", "w", [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert {(r["doc"], r["copies"]) for r in used.collect()} == {(1, 1), (2, 1), (3, 1)} and [p.tokens for p in plans] == [20, 20]
+    used, plans = mix(sized, "doc", "src", "n", "w", [("a", 0.5, 3), ("b", 0.5, 3)], total=40)
+    assert [p.budget for p in plans] == [20, 20] and sum(r["n"] * r["copies"] for r in used.collect()) == 40
+    with pytest.raises(ValueError):
+        mix_plan([("a", 5)], [("a", 0.5, 1), ("a", 0.5, 1)])
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs the vocabulary file")
