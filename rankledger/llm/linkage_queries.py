@@ -19,11 +19,10 @@ def match_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its group: the smallest competitor id, how many competitors and records it holds."""
     links = store(match_links(spark, sf_dir).distinct(), "links")
-    members = components(links.df, "source_person_key", "competitor_id")
-    kinds = links.df.select(F.col("competitor_id").alias("name")).distinct().withColumn("_is", F.lit(True))
-    marked = store(members.join(kinds, "name", "left"), "members")
-    groups = marked.df.groupBy("_c").agg(F.min(F.when(F.col("_is"), F.col("name"))).alias("group_id"), F.count_if(F.col("_is")).alias("competitors"), F.count(F.lit(1)).alias("records"))
-    return marked.df.join(groups, "_c").select(F.col("name").alias("record_key"), "group_id", "competitors", "records")
+    members = store(components(links.df, "source_person_key", "competitor_id", distinct=True), "members").df
+    links.drop()
+    groups = members.groupBy("_c").agg(F.min(F.when(F.col("_right"), F.col("name"))).alias("group_id"), F.count_if(F.col("_right")).alias("competitors"), F.count(F.lit(1)).alias("records"))
+    return members.join(groups, "_c").select(F.col("name").alias("record_key"), "group_id", "competitors", "records")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
