@@ -12,8 +12,8 @@ coefficients give school grades; for the anchors' scale each formula keeps its t
 its coefficients are fitted by least squares on the anchors. The median of the five is cut at the borders between levels
 that misplace the fewest anchors.
 
-Lines of up to 120 bytes without closing punctuation (headings, page lines, addresses) and words behind & or [ or / do
-not count as prose; a text that has nothing else is counted whole. Text without a single letter,
+Lines of fewer than ``short_line`` bytes without closing punctuation (headings, page lines, addresses) and names of
+character entities (&amp;) are no prose and not counted; a text without any line of prose is counted whole. Text without a single letter,
 empty or null has a null level, and so has every text if no anchor has a text and a level. Letter case and spacing play no part. Documents stay as many rows as they are.
 """
 
@@ -46,13 +46,13 @@ _INSIDE = _lookup(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'-", Tru
 _VOWEL = _lookup(b"aeiouyAEIOUY", True)  # a letter beyond ASCII counts as a vowel
 _SPACE, _DIGIT, _STOP, _CLOSE = _lookup(b" \t\r\n\f\v"), _lookup(b"0123456789"), _lookup(b".!?"), _lookup(b"\"')")
 _SILENT = {end: _lookup(bytes(letters, "ascii")) for end, letters in (("e", "bcdfghjkmnpqrstvwxz"), ("s", "bdfhjkmnpqrtvw"), ("d", "bcfghjklmnpqrsvwxz"))}
-#: Shorter lines without closing punctuation are no prose.
+#: Lines of fewer bytes without closing punctuation are no prose; 0 counts every line.
 SHORT_LINE = 120
 #: Bytes that are counted at once, whole documents at least.
 BLOCK = 1 << 21
 
 
-def count_block(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def count_block(raw: np.ndarray, ends: np.ndarray, short_line: int = SHORT_LINE) -> np.ndarray:
     """COUNTS of every document; raw: bytes of the documents, each closed by a line feed, ends: where they end (exclusive)."""
     n = len(raw)
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
@@ -65,11 +65,10 @@ def count_block(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     last = visible[line_end]
     first = np.append(0, line_end[:-1] + 1)
     closed = np.where(last >= first, _STOP[raw[last]] | _CLOSE[raw[last]], False) | (raw[np.maximum(last, 0)] >= 128) & (raw[np.maximum(last - 2, 0)] == 0xE2)
-    heading = ~closed & (line_end - first < SHORT_LINE)
+    heading = ~closed & (line_end - first < short_line)
     doc_of_line = np.searchsorted(ends, line_end, side="right")
-    size = np.diff(ends, prepend=0)
-    dropped = np.bincount(doc_of_line, weights=heading * (line_end - first), minlength=len(ends))
-    heading &= ~(dropped * 3 > size * 2)[doc_of_line]  # a text of such lines only is counted whole
+    prose = np.bincount(doc_of_line, weights=~heading & (last >= first), minlength=len(ends)) > 0
+    heading &= prose[doc_of_line]  # a text without any line of prose is counted whole
 
     vowel = _VOWEL[raw]
     group = vowel & ~np.append(False, vowel[:-1])
@@ -83,8 +82,8 @@ def count_block(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     z, y, x = low[stops - 1], low[np.maximum(stops - 2, 0)], low[np.maximum(stops - 3, 0)]
     silent = (z == 101) & _SILENT["e"][y] | (z == 115) & (y == 101) & _SILENT["s"][x] | (z == 100) & (y == 101) & _SILENT["d"][x]
     syllables = np.maximum(vowels - (silent & (vowels > 1)), 1)
-    before = raw[np.maximum(starts - 1, 0)]
-    keep = (letters > 0) & ~heading[np.searchsorted(line_end, starts)] & ~((starts > 0) & ((before == 38) | (before == 91) | (before == 47)))
+    entity = (starts > 0) & (raw[np.maximum(starts - 1, 0)] == 38) & (raw[np.minimum(stops, n - 1)] == 59)
+    keep = (letters > 0) & ~heading[np.searchsorted(line_end, starts)] & ~entity
     doc = np.searchsorted(ends, starts, side="right")[keep]
     per = lambda w=None: np.bincount(doc, weights=w, minlength=len(ends)).astype(float)
 
@@ -96,7 +95,7 @@ def count_block(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([per(), np.maximum(sentences, 1), per(syllables), per(syllables >= 3), per(letters), per(letters > 6)], axis=1)
 
 
-def count_texts(texts: pa.Array) -> np.ndarray:
+def count_texts(texts: pa.Array, short_line: int = SHORT_LINE) -> np.ndarray:
     """COUNTS of every text of an Arrow string array; null counts as empty."""
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -106,7 +105,7 @@ def count_texts(texts: pa.Array) -> np.ndarray:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
         own = offsets[i : j + 1] - offsets[i]
         block = np.insert(data[offsets[i] : offsets[j]], own[1:], 10)
-        out.append(count_block(block, own[1:] + np.arange(1, j - i + 1)))
+        out.append(count_block(block, own[1:] + np.arange(1, j - i + 1), short_line))
         i = j
     return np.concatenate(out)
 
