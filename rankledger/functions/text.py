@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,15 +12,21 @@ from pyspark.sql import types as T
 
 SPACE = r"[\s\u0085   -     　]"
 
-# Round labels, letters and digits only, by the stage they mean.
+# Round labels, letters and digits only, by the stage they mean. Labels that are persons' names are left out on purpose; ``named_rounds`` takes such.
 ROUND_LABELS = {
-    "octafinal": "of octo octa octas octafinal octafinals octofinal octofinals roundof16 top16",
-    "quarterfinal": "qf qrt qrts qtr qtrs quarter quarterfinal quarterfinals quarters roundof8 top8",
-    "semifinal": "sf sem sems semifinal semifinals semi semis roundof4 roundbeforefinal top4",
-    "final": "f exhibition final finals finalround championshipfinal",
+    "octafinal": ["octafinal", "octafinals", "octofinal", "octofinals", "octas", "octa", "octo", "of", "top16", "roundof16"],
+    "quarterfinal": ["quarterfinal", "quarterfinals", "quarter", "quarters", "qtr", "qtrs", "qrt", "qrts", "qf", "top8", "roundof8"],
+    "semifinal": ["semifinal", "semifinals", "semi", "semis", "sem", "sems", "sf", "top4", "roundof4", "roundbeforefinal"],
+    "final": ["final", "finals", "f", "finalround", "championshipfinal", "exhibition"],
 }
 # Event names of a division, as exact keys.
 DIVISION_KEYS = {"ix": ["international extemporaneous speaking", "international extemp", "ix"], "usx": ["united states extemporaneous speaking", "united states extemp", "usx"]}
+# Marks of how an event was held, at the end of its name.
+HELD = ["online", "in person"]
+# Words of an event name that tell its division.
+DIVISION_WORDS = {"ix": ["international"], "usx": ["national", "united states", r"\bus extemp"]}
+# Words of events for beginners.
+BEGINNERS = ["jv", "junior varsity", "novice"]
 
 
 @F.pandas_udf(T.StringType())
@@ -75,7 +82,16 @@ def exact_key(c: Column) -> Column:
 def event_key(c: Column) -> Column:
     """Letters and digits with single spaces, without a trailing mark of how the event was held."""
     t = F.trim(F.regexp_replace(F.lower(nfkc(c)), r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(t, r"\s+(?:online|in person)$", "")
+    return F.regexp_replace(t, rf"\s+({'|'.join(HELD)})$", "")
+
+
+def listed_event(name: Column, keys: list[str]) -> Column:
+    """Whether an event is one of ``keys``: not one for beginners; a single letter before it and ' varsity' behind it don't count."""
+    key = event_key(name)
+    bare = F.regexp_replace(F.regexp_replace(key, "^[a-z] +", ""), " +varsity$", "")
+    padded = F.concat(F.lit(" "), key, F.lit(" "))
+    beginners = reduce(lambda x, y: x | y, [padded.contains(f" {w} ") for w in BEGINNERS])
+    return F.coalesce(~beginners & bare.isin(keys), F.lit(False))
 
 
 def round_stage(label: Column, named_rounds: dict[str, str] | None = None) -> Column:
@@ -83,7 +99,7 @@ def round_stage(label: Column, named_rounds: dict[str, str] | None = None) -> Co
 
     named_rounds: further labels (letters and digits only) and their stages, such as rounds named after somebody.
     """
-    known = {name: stage for stage, names in ROUND_LABELS.items() for name in names.split()} | (named_rounds or {})
+    known = {name: stage for stage, names in ROUND_LABELS.items() for name in names} | (named_rounds or {})
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     key = F.regexp_replace(F.lower(label), r"[^a-z0-9]", "")
     return F.coalesce(F.try_element_at(names, key), F.try_element_at(names, F.regexp_replace(key, r"\d+$", "")))
@@ -120,7 +136,11 @@ def division_by_key(name: Column) -> Column:
 
 
 def division_by_pattern(name: Column) -> Column:
-    return F.when(name.rlike("(?i)international"), "ix").when(name.rlike(r"(?i)national|united states|\bus extemp"), "usx").otherwise("combined")
+    """The first division one of whose words the name holds."""
+    out = F.lit("combined")
+    for division, words in reversed(DIVISION_WORDS.items()):
+        out = F.when(name.rlike(f"(?i){'|'.join(words)}"), division).otherwise(out)
+    return out
 
 
 def member_number(c: Column) -> Column:
@@ -185,3 +205,36 @@ def in_order(text: Column, parts: Column) -> Column:
         return F.when((at < 0) | (found == 0), -1).otherwise(found + F.length(part))
 
     return F.aggregate(parts, F.lit(1), step) > 0
+
+
+def placements_named(text: Column, names: Column, reach: int = 18) -> Column:
+    """All names occur in text one behind the other, each with its place (1, 2nd, 3.) at most ``reach`` characters before it.
+
+    A fold that carries the position reached; -1 once a name or its place is missing. names is an array in order.
+    """
+
+    def step(at: Column, item: Column) -> Column:
+        found = F.position(item.n, text, F.greatest(at, F.lit(1)))
+        before = F.substring(text, F.greatest(found - reach, F.lit(1)), F.least(found - 1, F.lit(reach)))
+        place = F.regexp_extract(F.lower(before), r"(\d+)(st|nd|rd|th)?[.)\s:-]*$", 1)
+        return F.when((at < 0) | (found == 0) | (place != item.i.cast("string")), -1).otherwise(found + F.length(item.n))
+
+    items = F.transform(names, lambda n, i: F.struct(n.alias("n"), (i + 1).alias("i")))
+    return F.coalesce(F.aggregate(items, F.lit(1), step) > 0, F.lit(False))
+
+
+def evidence_error(text: Column, titles: list[str], year: Column, names: Column) -> Column:
+    """First thing that a document lacks as evidence of placements: a title, the year, the names in order with their places."""
+    flat = collapse(nfkc(text))
+    titled = reduce(lambda x, y: x | y, [F.lower(flat).contains(t.lower()) for t in titles])
+    return F.when(~F.coalesce(titled, F.lit(False)), "WRONG_TOURNAMENT").when(~F.coalesce(flat.contains(year), F.lit(False)), "WRONG_SEASON").when(~placements_named(flat, names), "PLACEMENTS_MISMATCH")
+
+
+def utf8_error(content: Column) -> Column:
+    """NOT_UTF8 or BOM of a binary column, else null."""
+    return F.when(~F.is_valid_utf8(content.cast("string")), "NOT_UTF8").when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", "BOM")
+
+
+def placeholder_school(c: Column, phrase: str) -> Column:
+    """Whether a school is only a numbered placeholder, ``phrase`` and a number."""
+    return F.coalesce(c.startswith(phrase + " ") & F.substring(c, len(phrase) + 2, 2**20).rlike(r"\A\d+\z"), F.lit(False))

@@ -6,7 +6,9 @@ only longer names need an edit distance, and they meet on (school, length band)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similar_98
@@ -68,6 +70,84 @@ def similar_pairs(people: DataFrame, block: str, name: str, person: str) -> Data
     return pairs.select("left", "right").distinct()
 
 
+def similar_across(people: DataFrame, scope: str, name: str, person: str) -> DataFrame:
+    """(name, other, scopes): names that are equal or 98 % alike and occur in several scopes; a report without pairs of people.
+
+    Equal names meet by a group-by: the name itself, and its number of scopes. Different ones meet by ``similar_pairs``
+    over distinct names, and count if their scopes are not one and the same.
+    """
+    named = people.groupBy(name).agg(F.min(scope).alias("_lo"), F.max(scope).alias("_hi"), F.count_distinct(scope).alias("_n")).withColumnRenamed(name, "_name")
+    equal = named.where("_n > 1").select("_name", F.col("_name").alias("_other"), "_n")
+    one = F.lit(0).alias("_b")
+    near = similar_pairs(named.select("_name", F.col("_name").alias("_key"), one), "_b", "_name", "_key").toDF("_name", "_other")
+    a, b = named.select("_name", F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi")), named.select(F.col("_name").alias("_other"), F.col("_lo").alias("_blo"), F.col("_hi").alias("_bhi"))
+    met = near.join(a, "_name").join(b, "_other").where("NOT (_alo = _ahi AND _blo = _bhi AND _alo = _blo)")
+    return equal.unionByName(met.select("_name", "_other", F.lit(2).cast("bigint").alias("_n"))).toDF("name", "other", "scopes")
+
+
+def stable_conflicts(people: DataFrame, key: str, name: str, event: str, entry: str) -> DataFrame:
+    """(key, code) of stable keys whose records contradict each other: NAMES_DIFFER, else ENTRIES_DIFFER in one event.
+
+    Minimum and maximum tell that a pair differs, so no pairs are formed.
+    """
+    keyed = people.where(F.col(key).isNotNull())
+    names = keyed.groupBy(key).agg((F.min(name) != F.max(name)).alias("_names"))
+    twice = contradictory(keyed, key, event, entry).withColumn("_twice", F.lit(True))
+    code = F.when(F.col("_names"), "NAMES_DIFFER").when(F.col("_twice"), "ENTRIES_DIFFER")
+    return names.join(twice, key, "left").select(key, code.alias("code")).where("code IS NOT NULL")
+
+
+def evidence_ids(people: DataFrame, order: list[str]) -> DataFrame:
+    """``people`` with ``evidence_id``, the place from 1 in the total order of the columns (nulls first).
+
+    Ranges of the order are sorted apart and numbered behind each other's counts: one row a range reaches a window.
+    """
+    ranges = people.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    held = store(ranges, "evidence-ranges")
+    counts = held.df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return held.df.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("evidence_id", F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+
+
+def resolve(people: DataFrame, links: DataFrame, key: str = "source_person_key") -> tuple[DataFrame, DataFrame]:
+    """((person, competitor), (code, subject)): all stages in order.
+
+    people: person, source_person_key, provider, name, school, event, entry. links: left_key, right_key.
+
+    1. records of one stable key are one person; contradictions among them are reported (STABLE_ID_CONFLICT);
+    2. explicit links join keys; a link that is SELF, DUPLICATE or DANGLING, and one whose component would hold two
+       keys of one provider or two entries in one event (CONFLICT), is reported, and its component is not joined;
+    3. a name that occurs at several schools, in different components, is reported (AMBIGUOUS) and joins nothing;
+    4. components of equal name and school join, unless the whole would contradict itself;
+    5. components that are each other's only 98 % match at a school join likewise.
+    """
+    node = F.coalesce(F.concat(F.lit("k:"), F.col(key)), F.concat(F.lit("p:"), F.col("person").cast("string")))
+    rows = store(people.withColumn("_node", node), "resolve-people")
+    conflicts = stable_conflicts(rows.df, key, "name", "event", "entry").select(F.lit("STABLE_ID_CONFLICT").alias("code"), F.col(key).alias("subject"))
+    wrong = explicit_edge_errors(links, rows.df.where(F.col(key).isNotNull()), key)
+    fine = links.join(wrong, ["left_key", "right_key"], "left_anti").select(F.concat(F.lit("k:"), "left_key").alias("a"), F.concat(F.lit("k:"), "right_key").alias("b"))
+    joined = store(connected(fine), "resolve-links")
+    placed = rows.df.join(joined.df.withColumnRenamed("id", "_node"), "_node", "left").withColumn("_c", F.coalesce("component", "_node")).drop("component")
+    several = placed.where(F.col(key).isNotNull()).groupBy("_c", "provider").agg((F.min(key) != F.max(key)).alias("_k")).where("_k").select("_c")
+    bad = store(several.unionByName(contradictory(placed, "_c", "event", "entry")).join(joined.df.select(F.col("component").alias("_c")), "_c", "left_semi").distinct(), "resolve-bad")
+    placed = store(placed.join(bad.df.withColumn("_bad", F.lit(True)), "_c", "left").withColumn("_c", F.when(F.col("_bad"), F.col("_node")).otherwise(F.col("_c"))).drop("_bad"), "resolve-placed")
+    ambiguous = placed.df.groupBy("name").agg((F.min("school") != F.max("school")).alias("_s"), (F.min("_c") != F.max("_c")).alias("_d")).where("_s AND _d")
+    exact = store(merge_exact(placed.df, "_c", ["name", "school"], "event", "entry"), "resolve-exact")
+    merged = store(placed.df.join(exact.df, "_c").drop("_c").withColumnRenamed("merged", "_c"), "resolve-merged")
+    pairs = similar_pairs(merged.df.select("person", "school", "name"), "school", "name", "person")
+    at = merged.df.select("person", "_c").distinct()
+    edges = pairs.join(at.toDF("left", "a"), "left").join(at.toDF("right", "b"), "right").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    alike = store(mutual_unique(edges, "a", "b"), "resolve-alike")
+    both = alike.df.select(F.col("b").alias("_c"), "a").unionByName(alike.df.select(F.col("a").alias("_c"), "a"))
+    clash = contradictory(merged.df.join(both, "_c").select("a", "event", "entry"), "a", "event", "entry")
+    last = alike.df.join(clash, "a", "left_anti").select(F.col("b").alias("_c"), F.col("a").alias("_to"))
+    members = merged.df.join(last, "_c", "left").select("person", F.coalesce("_to", "_c").alias("competitor"))
+    codes = [conflicts, wrong.select(F.concat(F.lit("EDGE_"), "code").alias("code"), F.concat_ws("|", "left_key", "right_key").alias("subject")),
+             bad.df.select(F.lit("EDGE_CONFLICT").alias("code"), F.col("_c").alias("subject")), ambiguous.select(F.lit("AMBIGUOUS").alias("code"), F.col("name").alias("subject"))]
+    return members, reduce(DataFrame.unionByName, codes)
+
+
 def mutual_unique(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Edges whose two ends have no other edge."""
     ends = edges.select(F.col(a).alias("_x")).unionByName(edges.select(F.col(b).alias("_x")))

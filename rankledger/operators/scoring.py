@@ -21,8 +21,8 @@ STAGES = ["octafinal", "quarterfinal", "semifinal", "final"]
 
 
 def half_up(value: Column, numerator: int = 5, denominator: int = 4) -> Column:
-    """floor((v*n + d/2) / d) in integers; the denominator is even."""
-    return F.floor((value * numerator + denominator // 2) / F.lit(denominator)).cast("int")
+    """(v*n + d/2) div d, in integers throughout; the denominator is even and the value not negative."""
+    return F.call_function("div", value * numerator + denominator // 2, F.lit(denominator)).cast("int")
 
 
 def _by_tier(per_tier: dict[int, Column]) -> Column:

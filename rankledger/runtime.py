@@ -13,8 +13,9 @@ _SCRATCH_ROOT = "rankledger-scratch"
 _ROOTS: dict[str, str] = {}
 _LIVE: dict[str, SparkSession] = {}
 
-#: A side is broadcast only when its measured row count is at most this.
+#: A side is broadcast only when it has at most so many rows and, by the widths of its first rows, at most so many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,12 +86,14 @@ def _sweep() -> None:
     _LIVE.clear()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast if it has at most ``limit`` rows, else leave the join to AQE's shuffle plan.
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint ``df`` for broadcast if it is small by rows and bytes, else leave the join to AQE's shuffle plan.
 
-    Counts at most ``limit + 1`` rows; meant for stored tables and dimensions.
+    Sizes at most ``limit + 1`` rows, in one job; meant for stored tables and dimensions. Bytes are those of the rows as
+    JSON, which is more than they take in memory.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most_bytes else df
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -50,6 +50,14 @@ def job_rows(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
     return events.select(F.sha2(body, 256).alias("job_id"), F.col(key).alias("job_key"), bucket.alias("scheduled_for"), F.col(at).alias("at"))
 
 
+def new_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence (edition_id, sha256, id) whose content an edition has not brought before: the first to arrive stands, all others end here.
+
+    Digests stay in the state, so a repeat is met however late it comes.
+    """
+    return evidence.dropDuplicates(["edition_id", "sha256"])
+
+
 def dedup_jobs(jobs: DataFrame) -> DataFrame:
     """Each job once, however late its rows come: without a watermark all job ids stay in the state."""
     return jobs.dropDuplicates(["job_id"]).select("job_id", "job_key", "scheduled_for")
@@ -86,10 +94,52 @@ def retry_states(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("job_id").applyInPandasWithState(step, RETRY_OUT, "attempts int, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def stability(events: DataFrame, key: str, at: str, as_of: str, quiet_days: int = 7) -> DataFrame:
-    """Per key: evidence, and whether the latest is at least quiet_days before as_of; new evidence re-arms the timer."""
-    last = F.max(at) + F.make_dt_interval(F.lit(quiet_days))
-    return events.groupBy(key).agg(F.count(F.lit(1)).alias("evidence"), (last <= F.lit(as_of).cast("timestamp_ntz")).alias("stable"))
+STABLE_DAYS = 7
+
+
+def _stable_at(end, latest):
+    """The later of a span's end and its latest evidence, and the quiet days."""
+    return F.greatest(end, latest) + F.make_dt_interval(F.lit(STABLE_DAYS))
+
+
+def stability(events: DataFrame, ends: DataFrame, key: str, at: str, end: str, as_of: str) -> DataFrame:
+    """Per key of ``ends``: evidence, and whether end and latest evidence lie the quiet days before as_of; new evidence re-arms the timer.
+
+    A key without an end is never stable; one without evidence counts from its end.
+    """
+    latest = events.groupBy(key).agg(F.count(F.lit(1)).alias("evidence"), F.max(at).alias("_last"))
+    met = ends.join(latest, key, "left")
+    stable = F.col(end).isNotNull() & (_stable_at(F.col(end), F.col("_last")) <= F.lit(as_of).cast("timestamp_ntz"))
+    return met.select(key, F.coalesce("evidence", F.lit(0)).alias("evidence"), F.coalesce(stable, F.lit(False)).alias("stable"))
+
+
+def scheduled_jobs(editions: DataFrame, as_of: str) -> DataFrame:
+    """(id, kind, reason, scheduled_for) that a daily run enqueues for editions: id, start_at, end_at, latest (timestamps), final_season.
+
+    Nothing before the start is known and the end has passed. Results are collected once; stability is verified daily
+    until it is reached, weekly from then on, and weekly for corrections once the season is final.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    waiting = ~F.col("final_season") & (now < _stable_at(F.col("end_at"), F.col("latest")))
+    collect = F.struct(F.lit("collect-results").alias("kind"), F.lit("RESULTS_ENDED").alias("reason"), F.col("end_at").alias("scheduled_for"))
+    verify = F.struct(F.lit("verify-stability").alias("kind"), F.when(F.col("final_season"), "FINAL_SEASON_WEEKLY_CORRECTION").when(waiting, "STABILITY_DAILY").otherwise("STABILITY_WEEKLY").alias("reason"),
+                      F.when(waiting, time.daily_bucket(now)).otherwise(time.weekly_bucket(now)).alias("scheduled_for"))
+    due = editions.where(F.col("start_at").isNotNull() & F.col("end_at").isNotNull() & (F.col("end_at") <= now))
+    return due.select("id", F.explode(F.array_compact(F.array(F.when(~F.col("final_season"), collect), verify))).alias("j")).select("id", "j.*")
+
+
+def ready_seasons(editions: DataFrame, as_of: str, lineage: str) -> DataFrame:
+    """(season_id, stable_at) of seasons that may become final: the closing ``lineage``'s edition is final or corrected, and stable by as_of.
+
+    editions: season_id, lineage_id, status, end_at, latest, final_season; a season that is final already is left out.
+    """
+    closing = editions.where((F.col("lineage_id") == lineage) & F.col("status").isin("final", "corrected") & ~F.col("final_season"))
+    return closing.select("season_id", _stable_at(F.col("end_at"), F.col("latest")).alias("stable_at")).where(F.col("stable_at") <= F.lit(as_of).cast("timestamp_ntz")).groupBy("season_id").agg(F.min("stable_at").alias("stable_at"))
+
+
+def dead_letters(states: DataFrame) -> DataFrame:
+    """(job_id, attempts, code) of jobs that ended without success: rows for the dead-letter table."""
+    return states.where("state = 'dead_lettered'").select("job_id", "attempts", F.lit("ATTEMPTS_EXHAUSTED").alias("code"))
 
 
 def quiet_sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:

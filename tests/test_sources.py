@@ -82,8 +82,17 @@ def test_calendar(spark):
     page = "<a href='/index/tourn/index.mhtml?tourn_id=5'>First &amp; <b>best</b></a> <A HREF=\"https://h.example/x?tourn_id=5\">again</A><a href='http://h.example/x?tourn_id=6'>plain</a><a href='https://other.example/?tourn_id=7'>o</a><a href='/y?tourn_id=8x'>n</a><a href='/z?tourn_id=9'> </a>"
     got = calendar.calendar_entries(spark.createDataFrame([(1, page), (2, None), (3, "")], "p int, html string"), "p", "html", "h.example").collect()
     assert [(r["id"], r["tournament"], r["title"]) for r in got] == [(1, "5", "First & best")]
-    titles = spark.createDataFrame([("<h1></h1><h2>Two</h2>",), ("<title>T</title>",), ("",)], "h string").select(calendar.page_title("h").alias("t")).collect()
-    assert [r["t"] for r in titles] == ["Two", "T", None]
+    got = calendar.details(spark.createDataFrame([(1, "<h1></h1><h2 data-x='St. John&#39;s'>Two</h2>"), (2, "<title>T</title><p data-x=1></p><p data-x=2>"), (3, ""), (4, "<h1>A</h1><i data-x='a&lt;b'>"), (5, None)], "p int, h string"), "p", "h", ["data-x"]).collect()
+    assert sorted((r["id"], r["title"], r["data_x"], r["error"]) for r in got) == [(1, "Two", "St. John's", None), (2, "T", None, "DUPLICATE_ATTRIBUTE"), (3, None, None, "MISSING_TITLE"), (4, "A", "a<b", "UNSAFE_ATTRIBUTE"), (5, None, None, "MISSING_TITLE")]
+
+
+def test_quotes_in_links_and_known_titles(spark):
+    page = "<a href=\"/t?tourn_id=5&n=St.John's\">St. John&rsquo;s</a><a href='/t?tourn_id=6'>The <b>OPEN</b></a><a href=/t?tourn_id=7>Other<a href='/t?tourn_id=8'>the open!"
+    df = spark.createDataFrame([(1, page)], "p int, html string")
+    got = calendar.calendar_entries(df, "p", "html", "h.example").collect()
+    assert sorted((r["tournament"], r["href"]) for r in got) == [("5", "https://h.example/t?tourn_id=5&n=St.John's"), ("6", "https://h.example/t?tourn_id=6"), ("7", "https://h.example/t?tourn_id=7")]
+    known = spark.createDataFrame([("the-open",), (None,)], "title string")
+    assert [r["tournament"] for r in calendar.calendar_entries(df, "p", "html", "h.example", titles=known).collect()] == ["6"]
 
 
 def item(doc, text, x, y, w=1.0, page=1):
