@@ -278,19 +278,6 @@ def jon_33_jon_34_set_07_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "results").where("won_final_round = 1 AND source_person_key IS NOT NULL").select(F.col("source_person_key").alias("k")).subtract(have)
 
 
-@query("""WITH t AS (SELECT edition_id, event_key, source_entry_id, CAST(sum(placement) AS BIGINT) AS total, count(*) AS ballots FROM (SELECT DISTINCT id, edition_id, event_key, source_entry_id, placement FROM results) WHERE furthest_stage = 'final' AND placement IS NOT NULL GROUP BY 1, 2, 3),
-  g AS (SELECT edition_id, event_key, min(total) AS m, count(DISTINCT ballots) = 1 AS fair FROM t GROUP BY 1, 2)
-  SELECT t.edition_id, t.event_key, min(t.source_entry_id) AS winner, any_value(t.total) AS total FROM t JOIN g ON t.edition_id IS NOT DISTINCT FROM g.edition_id AND t.event_key IS NOT DISTINCT FROM g.event_key AND t.total = g.m WHERE fair GROUP BY 1, 2 HAVING count(*) = 1""".replace("(SELECT DISTINCT id, edition_id, event_key, source_entry_id, placement FROM results) WHERE furthest_stage = 'final'", "(SELECT DISTINCT id, edition_id, event_key, source_entry_id, placement, furthest_stage FROM results) WHERE furthest_stage = 'final'"))
-def agg_07_final_winner(spark: SparkSession, sf: str) -> DataFrame:
-    r = distinct(spark, sf, "results", "id", "edition_id", "event_key", "source_entry_id", "placement", "furthest_stage").where("furthest_stage = 'final' AND placement IS NOT NULL")
-    t = r.groupBy("edition_id", "event_key", "source_entry_id").agg(F.sum("placement").alias("total"), F.count(F.lit(1)).alias("ballots"))
-    first = F.struct("total", "source_entry_id")
-    g = t.groupBy("edition_id", "event_key").agg(F.min(first).alias("_f"), F.min("ballots").alias("_lo"), F.max("ballots").alias("_hi"), F.min("total").alias("_m"))
-    g = g.toDF("_e", "_k", "_f", "_lo", "_hi", "_m")
-    ties = t.join(g, F.col("edition_id").eqNullSafe(F.col("_e")) & F.col("event_key").eqNullSafe(F.col("_k")) & (F.col("total") == F.col("_m"))).groupBy("edition_id", "event_key", "_f", "_lo", "_hi").count()
-    return ties.where("count = 1 AND _lo = _hi").select("edition_id", "event_key", F.col("_f.source_entry_id").alias("winner"), F.col("_f.total").alias("total"))
-
-
 @query("SELECT edition_id, count(*) FILTER (furthest_stage = 'final') AS finals, count(*) FILTER (placement IS NULL) AS unplaced, count(*) AS results, count(DISTINCT source_person_key) AS persons FROM (SELECT DISTINCT id, edition_id, furthest_stage, placement, source_person_key FROM results) GROUP BY 1")
 def agg_06_agg_09_agg_10_edition_counts(spark: SparkSession, sf: str) -> DataFrame:
     r = distinct(spark, sf, "results", "id", "edition_id", "furthest_stage", "placement", "source_person_key")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 ARCHIVE = "season string, policy string, standings array<struct<rank: int, name: string, school: string, points: int, wins: int, topThrees: int, finals: int>>"
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(ARCHIVE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_archive(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a standing of every archive; one JSON object a file, or one a line."""
+    d = spark.read.schema(ARCHIVE).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return d.select("season", "policy", F.explode("standings").alias("s")).select("season", "policy", "s.*")
 
 

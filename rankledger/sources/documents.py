@@ -25,9 +25,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", False).csv(path)
 
 
-def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All *.json files below a folder, one object each."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_manifests(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
+    """All files of that name below a folder, one JSON object each."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_blobs(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
