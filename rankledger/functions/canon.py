@@ -6,10 +6,12 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import store
+
 
 def sorted_fields(c: Column, kind: T.DataType) -> Column:
     """The same value with the fields of every struct in alphabetical order."""
@@ -40,16 +42,47 @@ def sha256_id(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.sha2(text, 256))
 
 
+#: Rows of one chunk of ``chunked_hash``.
+CHUNK_ROWS = 100_000
+
+
 def table_hash(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """One row: SHA-256 of a result as a canonical JSON array in the given order.
 
-    For published, bounded results (a season's standings); an unbounded table takes ``fingerprint``.
+    For published, bounded results (a season's standings); tables of any size take ``chunked_hash`` or ``fingerprint``.
     """
     rows = df.select(F.struct(*[F.col(c) for c in order]).alias("_o"), canonical_json(df, columns).alias("_j"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_j"))), lambda x: x["_j"])
     return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")), 256).alias("content_hash"))
 
 
+def chunked_hash(df: DataFrame, columns: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row: SHA-256 of the digests of a table's chunks of ``chunk_rows`` rows in the given total order, at any size.
+
+    The order is sorted in ranges apart; a chunk's place follows from the counts of the ranges before it, so the digest
+    does not depend on how the table is partitioned. Only one digest a chunk meets in one task.
+    """
+    rows = df.withColumn("_j", canonical_json(df, columns)).select(*order, "_j")
+    placed = numbered(rows, order)
+    chunk = F.call_function("div", F.col("_n") - 1, F.lit(chunk_rows).cast("bigint"))
+    texts = placed.groupBy(chunk.alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_n", "_j"))).alias("_l"))
+    digests = texts.select("_c", F.sha2(F.array_join(F.transform("_l", lambda x: x["_j"]), ","), 256).alias("_d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_d"))), lambda x: x["_d"]), "")
+    return digests.agg(F.sha2(joined, 256).alias("content_hash"))
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "_n") -> DataFrame:
+    """``df`` with the place of every row, from 1, in the total order of the columns (nulls first).
+
+    Ranges of the order are sorted apart and numbered behind each other's counts: one row a range reaches a window.
+    """
+    held = store(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranges").df
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return held.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(out, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_part", "_place", "_before")
+
+
 def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Order-free fingerprint per key: count and two sums of row hashes; combines on the map side at any size."""
     h = F.xxhash64(canonical_json(df, columns))

@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,11 +223,12 @@ def placements_named(text: Column, names: Column, reach: int = 18) -> Column:
     return F.coalesce(F.aggregate(items, F.lit(1), step) > 0, F.lit(False))
 
 
-def evidence_error(text: Column, titles: list[str], year: Column, names: Column) -> Column:
-    """First thing that a document lacks as evidence of placements: a title, the year, the names in order with their places."""
-    flat = collapse(nfkc(text))
+def with_evidence_error(df: DataFrame, text: str, titles: list[str], year: Column, names: Column, out: str = "error") -> DataFrame:
+    """Adds the first thing that a document lacks as evidence of placements: a title, the year, the names in order with their places."""
+    flat = F.col("_flat")
     titled = reduce(lambda x, y: x | y, [F.lower(flat).contains(t.lower()) for t in titles])
-    return F.when(~F.coalesce(titled, F.lit(False)), "WRONG_TOURNAMENT").when(~F.coalesce(flat.contains(year), F.lit(False)), "WRONG_SEASON").when(~placements_named(flat, names), "PLACEMENTS_MISMATCH")
+    error = F.when(~F.coalesce(titled, F.lit(False)), "WRONG_TOURNAMENT").when(~F.coalesce(flat.contains(year), F.lit(False)), "WRONG_SEASON").when(~placements_named(flat, names), "PLACEMENTS_MISMATCH")
+    return df.withColumn("_flat", collapse(nfkc(F.col(text)))).withColumn(out, error).drop("_flat")
 
 
 def utf8_error(content: Column) -> Column:

@@ -56,3 +56,10 @@ def full_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) ->
     differ = F.array_compact(F.array(*[F.when(~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), F.lit(f)) for f in fields]))
     status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when(F.size(differ) > 0, "differs")
     return both.select(*keys, status.alias("status"), F.when(status == "differs", differ).alias("fields")).where("status IS NOT NULL")
+
+
+def digest_errors(contents: DataFrame, reviewed: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, error) of contents against reviewed (key, sha256, bytes): NOT_REVIEWED, DIGEST_MISMATCH, SIZE_MISMATCH or null."""
+    met = contents.join(reviewed.select(key, F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes")), key, "left")
+    rules = [("NOT_REVIEWED", F.col("_sha").isNotNull()), ("DIGEST_MISMATCH", F.sha2(F.col(content), 256) == F.col("_sha")), ("SIZE_MISMATCH", F.octet_length(F.col(content)) == F.col("_bytes"))]
+    return met.select(key, first_failure(rules).alias("error"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canon import numbered
 from ..functions.text import similar_98
 from ..runtime import store
 
@@ -98,16 +99,8 @@ def stable_conflicts(people: DataFrame, key: str, name: str, event: str, entry:
 
 
 def evidence_ids(people: DataFrame, order: list[str]) -> DataFrame:
-    """``people`` with ``evidence_id``, the place from 1 in the total order of the columns (nulls first).
-
-    Ranges of the order are sorted apart and numbered behind each other's counts: one row a range reaches a window.
-    """
-    ranges = people.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    held = store(ranges, "evidence-ranges")
-    counts = held.df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return held.df.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("evidence_id", F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    """``people`` with ``evidence_id``, the place from 1 in the total order of the columns (nulls first)."""
+    return numbered(people, order, "evidence_id")
 
 
 def resolve(people: DataFrame, links: DataFrame, key: str = "source_person_key") -> tuple[DataFrame, DataFrame]:

@@ -134,14 +134,6 @@ def grf_01_components(spark: SparkSession, sf: str) -> DataFrame:
     return identity.connected(c.select(F.col("c_custkey").alias("a"), near.alias("b")))
 
 
-@query("""SELECT a.competitor_id AS a, b.competitor_id AS b FROM (SELECT DISTINCT competitor_id, display_name, canonical_school_id FROM competitors) a JOIN (SELECT DISTINCT competitor_id, display_name, canonical_school_id FROM competitors) b
-  ON a.display_name = b.display_name AND a.canonical_school_id <> b.canonical_school_id AND a.competitor_id < b.competitor_id GROUP BY 1, 2""")
-def jon_17_cross_school(spark: SparkSession, sf: str) -> DataFrame:
-    c = distinct(spark, sf, "competitors", "competitor_id", "display_name", "canonical_school_id")
-    a, b = c.toDF("a", "display_name", "_sa"), c.toDF("b", "display_name", "_sb")
-    return a.join(b, "display_name").where("_sa <> _sb AND a < b").select("a", "b").distinct()
-
-
 @query("""WITH e AS (SELECT DISTINCT source_person_key AS k, competitor_id AS c FROM identity_matches WHERE source_person_key IS NOT NULL AND competitor_id IS NOT NULL)
   SELECT k, c FROM e WHERE k IN (SELECT k FROM e GROUP BY 1 HAVING count(*) = 1) AND c IN (SELECT c FROM e GROUP BY 1 HAVING count(*) = 1)""")
 def grf_06_mutual_unique(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,22 +162,6 @@ def grf_09_jon_09_scope(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(e.join(shared, "k", "left_semi").select("c").distinct(), "c", "left_semi").select("k", "c")
 
 
-@query("""WITH e AS (SELECT DISTINCT source_person_key AS k, competitor_id AS c FROM identity_matches), p AS (SELECT DISTINCT source_person_key AS k FROM results WHERE source_person_key IS NOT NULL)
-  SELECT e.k AS left_key, e.c AS right_key, CASE WHEN k = c THEN 'SELF' WHEN NOT (k IN (SELECT k FROM p)) OR NOT (c IN (SELECT competitor_id FROM competitors)) THEN 'DANGLING' END AS code FROM e WHERE k IS NOT NULL AND c IS NOT NULL AND (k = c OR NOT (k IN (SELECT k FROM p)) OR NOT (c IN (SELECT competitor_id FROM competitors)))""")
-def grf_03_jon_19_explicit_links(spark: SparkSession, sf: str) -> DataFrame:
-    e = distinct(spark, sf, "identity_matches", F.col("source_person_key").alias("left_key"), F.col("competitor_id").alias("right_key")).where("left_key IS NOT NULL AND right_key IS NOT NULL")
-    known = table(spark, sf, "results").select(F.col("source_person_key").alias("key")).unionByName(table(spark, sf, "competitors").select(F.col("competitor_id").alias("key"))).where("key IS NOT NULL")
-    return identity.explicit_edge_errors(e, known, "key")
-
-
-@query("""SELECT c.competitor_id, c.display_school, coalesce(a.school_id, 'unknown-school:' || lower(c.display_school)) AS school_id FROM (SELECT DISTINCT competitor_id, display_school FROM competitors) c
-  LEFT JOIN (SELECT matched_alias AS alias, min(canonical_school_id) AS school_id FROM competitors WHERE matched_alias IS NOT NULL AND canonical_school_id NOT LIKE 'unknown%' GROUP BY 1) a ON a.alias = c.display_school""")
-def jon_13_alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    c = distinct(spark, sf, "competitors", "competitor_id", "display_school")
-    a = table(spark, sf, "competitors").where("matched_alias IS NOT NULL AND canonical_school_id NOT LIKE 'unknown%'").groupBy(F.col("matched_alias").alias("display_school")).agg(F.min("canonical_school_id").alias("school_id"))
-    return c.join(a, "display_school", "left").select("competitor_id", "display_school", F.coalesce("school_id", F.concat(F.lit("unknown-school:"), F.lower("display_school"))).alias("school_id"))
-
-
 # Joins, aggregates, windows ------------------------------------------------------------------------------------------
 
 
@@ -233,21 +209,6 @@ def jon_26_award_standing(spark: SparkSession, sf: str) -> DataFrame:
     return distinct(spark, sf, "awards", "id", "standings_version_id", "competitor_id").join(r, ["standings_version_id", "competitor_id"]).select("id", "standing_points")
 
 
-@query("""WITH f AS (SELECT id AS lineage_id, unnest(from_json(aliases_json, '["VARCHAR"]')) AS alias FROM (SELECT DISTINCT id, aliases_json FROM lineages)),
-  c AS (SELECT id, canonical_name AS title FROM lineages UNION SELECT lineage_id, alias FROM f),
-  m AS (SELECT c.id AS candidate, c.title, 1 AS rule, l.id AS lineage FROM c JOIN (SELECT DISTINCT id, canonical_name FROM lineages) l ON l.canonical_name = c.title UNION SELECT c.id, c.title, 2, f.lineage_id FROM c JOIN f ON f.alias = c.title)
-  SELECT candidate, title, CASE WHEN count(DISTINCT lineage) = 1 THEN min(lineage) END AS lineage, count(DISTINCT lineage) > 1 AS ambiguous, CAST(min(rule) AS INT) AS rule FROM (SELECT * FROM m QUALIFY rule = min(rule) OVER (PARTITION BY candidate, title)) GROUP BY 1, 2""")
-def jon_29_precedence_match(spark: SparkSession, sf: str) -> DataFrame:
-    names = distinct(spark, sf, "lineages", F.col("id").alias("lineage"), F.col("canonical_name").alias("title"))
-    aliases = distinct(spark, sf, "lineages", F.col("id").alias("lineage"), F.explode(F.from_json("aliases_json", "array<string>")).alias("title")).where("title IS NOT NULL")
-    candidates = names.unionByName(aliases).distinct().withColumnRenamed("lineage", "candidate")
-    hits = names.withColumn("rule", F.lit(1)).unionByName(aliases.withColumn("rule", F.lit(2))).distinct()
-    m = candidates.join(hits, "title")
-    best = m.groupBy("candidate", "title").agg(F.min("rule").alias("rule"))
-    return m.join(best, ["candidate", "title", "rule"]).groupBy("candidate", "title", "rule").agg(F.min("lineage").alias("_lo"), F.max("lineage").alias("_hi")).select(
-        "candidate", "title", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("lineage"), (F.col("_lo") != F.col("_hi")).alias("ambiguous"), "rule")
-
-
 @query("SELECT n.n_nationkey, count(DISTINCT c.c_custkey) AS shared FROM nation n LEFT JOIN (SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')) c ON c.c_nationkey = n.n_nationkey GROUP BY 1")
 def jon_30_set_01_semi_count(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
@@ -256,12 +217,6 @@ def jon_30_set_01_semi_count(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(g, n["n_nationkey"] == g["c_nationkey"], "left").select("n_nationkey", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
-@query("""SELECT r.id, CASE WHEN count(DISTINCT c.competitor_id) = 1 THEN min(c.competitor_id) END AS competitor_id FROM (SELECT DISTINCT id, published_name FROM results) r LEFT JOIN (SELECT DISTINCT competitor_id, display_name FROM competitors) c ON c.display_name = r.published_name GROUP BY 1""")
-def jon_31_unique_name(spark: SparkSession, sf: str) -> DataFrame:
-    r = distinct(spark, sf, "results", "id", "published_name")
-    return checks.exactly_one(r, distinct(spark, sf, "competitors", "display_name", "competitor_id").where("display_name IS NOT NULL"), [("published_name", "display_name")], "competitor_id").select("id", "competitor_id")
-
-
 @query("""WITH a AS (SELECT competitor_id, max(points) AS points, max(wins) AS wins FROM standing_rows WHERE standings_version_id <= 'sv-000000050' GROUP BY 1), b AS (SELECT competitor_id, max(points) AS points, max(wins) AS wins FROM standing_rows WHERE standings_version_id > 'sv-000000050' GROUP BY 1)
   SELECT competitor_id, status, CASE WHEN status = 'differs' THEN array_to_string(list_filter([CASE WHEN ap IS DISTINCT FROM bp THEN 'points' END, CASE WHEN aw IS DISTINCT FROM bw THEN 'wins' END], lambda x: x IS NOT NULL), ',') END AS fields FROM (
   SELECT competitor_id, a.points AS ap, b.points AS bp, a.wins AS aw, b.wins AS bw, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.points IS DISTINCT FROM b.points OR a.wins IS DISTINCT FROM b.wins THEN 'differs' END AS status
@@ -287,12 +242,6 @@ def agg_06_agg_09_agg_10_edition_counts(spark: SparkSession, sf: str) -> DataFra
     return counts.join(persons, on, "left").select(counts["edition_id"], "finals", "unplaced", "results", F.coalesce("persons", F.lit(0)).alias("persons"))
 
 
-@query("SELECT user_id, event_type AS modal, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1")
-def agg_11_modal_group(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "event_type")).alias("x")).select("user_id", F.col("x.event_type").alias("modal"), (-F.col("x.m")).alias("n"))
-
-
 @query("SELECT (SELECT count(*) FROM editions) + (SELECT count(*) FROM snapshots) + (SELECT count(*) FROM awards) AS blockers")
 def agg_13_sum_of_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda t: table(spark, sf, t).agg(F.count(F.lit(1)).alias("n"))

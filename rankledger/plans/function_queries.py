@@ -23,8 +23,30 @@ def query(sql: str | None = None):
     return register
 
 
+def nfkc_sql(c: str) -> str:
+    """Compatibility forms in SQL, character by character from the layout of their blocks, written apart from the operator."""
+    k = "unicode(k)"
+    letter = lambda first: f"chr(CAST(CASE WHEN ({k} - {first}) % 52 < 26 THEN 65 ELSE 71 END + ({k} - {first}) % 52 AS INT))"
+    ligatures = "['ff','fi','fl','ffi','ffl','st','st']"
+    romans = "['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','L','C','D','M']"
+    return f"""nfc_normalize(array_to_string(list_transform(regexp_extract_all({c}, '(?s).'), lambda k: CASE WHEN {k} < 160 THEN k WHEN {k} BETWEEN 65281 AND 65374 THEN chr(CAST({k} - 65248 AS INT)) WHEN {k} BETWEEN 119808 AND 120483 THEN {letter(119808)}
+      WHEN {k} BETWEEN 120782 AND 120831 THEN chr(CAST(48 + ({k} - 120782) % 10 AS INT)) WHEN {k} IN (160, 8239, 8287, 12288) OR {k} BETWEEN 8192 AND 8202 THEN ' ' WHEN {k} BETWEEN 64256 AND 64262 THEN list_extract({ligatures}, CAST({k} - 64255 AS INT)) WHEN {k} BETWEEN 8544 AND 8559 THEN list_extract({romans}, CAST({k} - 8543 AS INT))
+      WHEN {k} BETWEEN 8560 AND 8575 THEN lower(list_extract({romans}, CAST({k} - 8559 AS INT))) WHEN {k} BETWEEN 9398 AND 9449 THEN {letter(9398)} WHEN {k} = 8209 THEN chr(8208) WHEN {k} = 8230 THEN '...' WHEN {k} = 8482 THEN 'TM' ELSE k END), ''))"""
 
-@query()
+
+_BLANK = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+def identity_sql(c: str) -> str:
+    """``identity_text`` in SQL: apostrophes between letters are put aside while all punctuation goes."""
+    t = "lower(" + nfkc_sql(f"trim(regexp_replace({c}, '{_BLANK}', ' ', 'g'))") + ")"
+    for _ in range(2):  # neighbouring apostrophes share a letter, so twice
+        t = f"regexp_replace({t}, '(\\p{{L}})''(\\p{{L}})', '\\1' || chr(57344) || '\\2', 'g')"
+    t = f"regexp_replace(replace({t}, chr(39), ''), '[\\p{{P}}]', '', 'g')"
+    return f"nullif(trim(regexp_replace(replace({t}, chr(57344), chr(39)), '{_BLANK}', ' ', 'g')), '')"
+
+
+@query(f"SELECT {identity_sql('v')} AS identity, CAST(sum(n) AS BIGINT) AS rows, count(*) AS spellings FROM (SELECT published_name AS v, count(*) AS n FROM results GROUP BY 1) GROUP BY 1")
 def str_01_identity_text(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "results").groupBy(F.col("published_name").alias("v")).agg(F.count(F.lit(1)).alias("rows"))
     return names.groupBy(text.identity_text(F.col("v")).alias("identity")).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("spellings"))
@@ -48,12 +70,6 @@ def str_04_event_key(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", text.event_key(F.col("event_name")).alias("key"))
 
 
-@query("""SELECT furthest_stage, CASE WHEN furthest_stage IN ('octafinal','quarterfinal','semifinal','final') THEN furthest_stage END AS stage, count(*) AS results FROM results GROUP BY 1""")
-def str_05_round_stage(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "results").groupBy("furthest_stage").agg(F.count(F.lit(1)).alias("results"))
-    return d.select("furthest_stage", text.round_stage(F.col("furthest_stage")).alias("stage"), "results")
-
-
 _PLACE = "CASE WHEN placement IS NULL THEN furthest_stage WHEN placement % 3 = 0 THEN placement || 'th' WHEN placement % 7 = 0 THEN 'place ' || placement WHEN placement % 11 = 0 THEN '0' ELSE CAST(placement AS VARCHAR) END"
 
 
@@ -87,7 +103,7 @@ def str_09_member_number(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("mask", text.masked(F.col("number")))
 
 
-@query()
+@query(f"SELECT v, trim(regexp_replace({nfkc_sql('v')}, '{_BLANK}', ' ', 'g')) AS name FROM (SELECT DISTINCT published_name AS v FROM results)")
 def str_10_submitted_name(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "results").select(F.col("published_name").alias("v")).distinct()
     return d.select("v", text.collapse(text.nfkc(F.col("v"))).alias("name"))
@@ -115,13 +131,6 @@ def str_13_encode_component(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("s", text.encode_component(F.col("s")).alias("encoded"))
 
 
-@query("""SELECT a.s_suppkey AS a, b.c_custkey AS b, a.s_name || a.s_name || a.s_name = b.c_name || b.c_name || b.c_name AS alike FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND a.s_suppkey % 100 = b.c_custkey % 100""")
-def str_14_similar_98(spark: SparkSession, sf: str) -> DataFrame:
-    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    pairs = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") % 100 == F.col("c_custkey") % 100))
-    return pairs.select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"), text.similar_98(F.repeat("s_name", F.lit(3)), F.repeat("c_name", F.lit(3))).alias("alike"))
-
-
 @query("SELECT DISTINCT lineage_id, row_number() OVER (ORDER BY lineage_id) AS place FROM (SELECT DISTINCT lineage_id FROM editions WHERE lineage_id IS NOT NULL)")
 def str_15_code_order(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
@@ -130,7 +139,7 @@ def str_15_code_order(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("place", F.row_number().over(Window.orderBy("lineage_id")).cast("bigint"))
 
 
-@query()
+@query("SELECT id, CAST(row_number() OVER (ORDER BY icu_sort_key(name, 'und'), id) AS INT) AS locale_place, CAST(row_number() OVER (ORDER BY name, id) AS INT) AS byte_place FROM (SELECT id, min(canonical_name) AS name FROM lineages GROUP BY 1)")
 def str_16_locale_order(spark: SparkSession, sf: str) -> DataFrame:
     """Lineage names in the order of the UNICODE collation beside byte order (a dimension of fixed size)."""
     from pyspark.sql import Window
@@ -146,11 +155,6 @@ def str_17_csv_field(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", text.csv_field(F.col("s")).alias("field"))
 
 
-@query("SELECT doc_id, true AS valid, octet_length(encode(text)) AS bytes FROM documents")
-def str_18_utf8(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.is_valid_utf8("text").alias("valid"), F.octet_length("text").cast("bigint").alias("bytes"))
-
-
 @query("SELECT o_orderkey, CASE WHEN month(o_orderdate) >= 8 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END || '-' || lpad(CAST((CASE WHEN month(o_orderdate) >= 8 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END) % 100 AS VARCHAR), 2, '0') AS season FROM orders")
 def dte_01_season_id(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", time.season_id(F.col("o_orderdate")).alias("season"))
@@ -275,7 +279,10 @@ def hsh_02_content_id(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", canon.sha256_id("snapshot:", canon.json_tuple_key(F.col("edition_id"), F.col("descriptor_id"), F.col("sha256"))).alias("content_id")).distinct()
 
 
-@query()
+_INNER, _OUTER = canon.hmac_pads(b"test key")
+
+
+@query(f"SELECT c_custkey, sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode(c_name)))) AS pseudonym FROM customer")
 def hsh_03_hmac(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", canon.hmac_sha256(b"test key")(F.col("c_name")).alias("pseudonym"))
 

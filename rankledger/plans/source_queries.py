@@ -118,20 +118,6 @@ def src_14_agg_19_golden_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return archives.unpivot_season(wide, ["season", "name"]).groupBy("season", "name").agg(F.sum("points").alias("cells"))
 
 
-@query("""SELECT DISTINCT id, true AS named, position(event_id IN edition_id || '/' || event_id) > 0 AS present FROM result_sets WHERE edition_id IS NOT NULL AND event_id IS NOT NULL""")
-def flt_21_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "result_sets").where("edition_id IS NOT NULL AND event_id IS NOT NULL").select("id", "edition_id", "event_id").distinct()
-    body = F.concat_ws("/", "edition_id", "event_id")
-    return r.select("id", text.in_order(body, F.array("edition_id", "event_id")).alias("named"), text.in_order(body, F.array("event_id")).alias("present"))
-
-
-@query("""SELECT DISTINCT id, CASE WHEN regexp_matches(lower(coalesce(event_name, '')), 'novice|jv') THEN 'MIDDLE' WHEN coalesce(event_name, '') = '' THEN 'MALFORMED' WHEN NOT regexp_matches(lower(event_name), 'extemp|ix|usx') THEN 'NO_ELIGIBLE_EVENT' END AS rejected FROM result_sets""")
-def flt_05_flt_15_rule_chain(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.lower(F.coalesce("event_name", F.lit("")))
-    chain = F.when(name.rlike("novice|jv"), "MIDDLE").when(name == "", "MALFORMED").when(~name.rlike("extemp|ix|usx"), "NO_ELIGIBLE_EVENT")
-    return table(spark, sf, "result_sets").select("id", chain.alias("rejected")).distinct()
-
-
 @query("""SELECT DISTINCT id, coalesce(explicit_final = 1, false) AND coalesce(correction = 0, false) AS final FROM result_sets""")
 def flt_01_flt_02_finality(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "result_sets").select("id", "explicit_final", F.col("correction").cast("string").alias("bracket")).distinct()

@@ -46,18 +46,6 @@ def stm_03_stm_12_retry_states(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_to_end(jobs.retry_states(e))
 
 
-@query("""SELECT user_id AS name, CAST(arg_min(event_type, (ts, event_type)) AS VARCHAR) AS owner, CAST(min(ts) + INTERVAL 900 SECOND AS VARCHAR) AS until FROM events GROUP BY 1""")
-def stm_05_dml_02_leases(spark: SparkSession, sf: str) -> DataFrame:
-    claims = table(spark, sf, "events").select(F.col("user_id").alias("name"), F.col("event_type").alias("owner"), F.col("ts").alias("at"))
-    none = claims.where("false")
-    return store.take_leases(none, claims).select("name", "owner", F.col("at").cast("string").alias("until"))
-
-
-@query("SELECT CAST(user_id AS BIGINT) AS edition_id, CAST(count(*) AS BIGINT) AS evidence, max(ts) + INTERVAL 7 DAY <= TIMESTAMP '2024-02-06 00:00:00' AS stable FROM events GROUP BY user_id")
-def stm_06_stability(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.stability(table(spark, sf, "events"), "user_id", "ts", "2024-02-06 00:00:00").withColumnRenamed("user_id", "edition_id")
-
-
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
   SELECT user_id, CAST(min(ts) AS VARCHAR) AS first_at, CAST(max(ts) + INTERVAL 1 DAY AS VARCHAR) AS closes_at, count(*) AS events FROM h GROUP BY user_id, k""")
 def stm_06_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,12 +69,6 @@ def stm_08_late_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.versions_of_late_evidence(r, "edition_id", "t", "f").select("edition_id", "id", "status")
 
 
-@query("SELECT edition_id, sha256, count(DISTINCT id) AS snapshots, min(id) AS kept FROM snapshots GROUP BY 1, 2")
-def stm_10_snk_01_duplicate_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "snapshots").select("edition_id", "sha256", "id").distinct()
-    return s.groupBy("edition_id", "sha256").agg(F.count(F.lit(1)).alias("snapshots"), F.min("id").alias("kept"))
-
-
 @query("SELECT event_type, count(*) AS n, CAST(sum(value) AS DECIMAL(18, 4)) AS total FROM (SELECT event_type, CAST(value AS DECIMAL(18, 4)) AS value FROM events) GROUP BY 1")
 def stm_foreach_batch_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Micro-batches append partial sums to a table; the read side adds them up, so a replayed batch id writes the same file."""
@@ -136,13 +118,6 @@ def dml_04_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(l, "lineage_id", "left").select("id", F.coalesce("_p", "policy_version_id").alias("policy"))
 
 
-@query("""SELECT coalesce(a.competitor_id, b.competitor_id) AS competitor_id, CASE WHEN a.competitor_id IS NULL OR b.points > a.points THEN b.points ELSE a.points END AS points
-  FROM (SELECT competitor_id, max(points) AS points FROM standing_rows GROUP BY 1) a FULL JOIN (SELECT competitor_id, max(points) AS points FROM awards WHERE competitor_id IS NOT NULL GROUP BY 1) b ON a.competitor_id = b.competitor_id""")
-def dml_03_merge(spark: SparkSession, sf: str) -> DataFrame:
-    best = lambda t: table(spark, sf, t).where("competitor_id IS NOT NULL").groupBy("competitor_id").agg(F.max("points").alias("points"))
-    return store.merge(best("standing_rows"), best("awards"), ["competitor_id"], F.col("new.points") > F.col("old.points"))
-
-
 @query("""SELECT id, CASE WHEN NOT coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), false) THEN 'SHA256' WHEN NOT coalesce(starts_with(url, 'https://'), false) THEN 'URL' WHEN source_class IS NULL THEN 'SOURCE_CLASS' WHEN permission IS DISTINCT FROM descriptor_permission THEN 'PERMISSION' WHEN media_type IS NULL THEN 'MEDIA_TYPE' END AS error_code
   FROM (SELECT DISTINCT id, sha256, url, source_class, permission, descriptor_permission, media_type FROM snapshots)""")
 def val_01_val_03_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,17 +126,6 @@ def val_01_val_03_rules(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", checks.first_failure(rules).alias("error_code"))
 
 
-@query("SELECT published_school IS NULL OR regexp_matches(lower(published_school), '^(unknown|n/a|none|independent)$') AS placeholder, count(*) AS results FROM results GROUP BY 1")
-def flt_19_placeholder_school(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.lower("published_school")
-    return table(spark, sf, "results").groupBy((F.col("published_school").isNull() | s.rlike("^(unknown|n/a|none|independent)$")).alias("placeholder")).agg(F.count(F.lit(1)).alias("results"))
-
-
-@query("SELECT id, r2_key, NOT (r2_key = '' OR starts_with(r2_key, '/') OR contains(r2_key, chr(92)) OR regexp_matches(r2_key, '^[A-Za-z]:') OR list_has_any(string_split(r2_key, '/'), ['', '.', '..'])) AS safe FROM (SELECT DISTINCT id, r2_key FROM snapshots)")
-def flt_20_safe_path(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "snapshots").select("id", "r2_key").distinct().withColumn("safe", text.safe_relative_path(F.col("r2_key")))
-
-
 @query("SELECT edition_id, max_by(id, (ingested_at, id)) AS last_id FROM result_sets WHERE edition_id IS NOT NULL GROUP BY 1")
 def prj_08_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "result_sets").where("edition_id IS NOT NULL").select("edition_id", "id", "ingested_at")

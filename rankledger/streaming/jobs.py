@@ -123,7 +123,7 @@ def scheduled_jobs(editions: DataFrame, as_of: str) -> DataFrame:
     waiting = ~F.col("final_season") & (now < _stable_at(F.col("end_at"), F.col("latest")))
     collect = F.struct(F.lit("collect-results").alias("kind"), F.lit("RESULTS_ENDED").alias("reason"), F.col("end_at").alias("scheduled_for"))
     verify = F.struct(F.lit("verify-stability").alias("kind"), F.when(F.col("final_season"), "FINAL_SEASON_WEEKLY_CORRECTION").when(waiting, "STABILITY_DAILY").otherwise("STABILITY_WEEKLY").alias("reason"),
-                      F.when(waiting, time.daily_bucket(now)).otherwise(time.weekly_bucket(now)).alias("scheduled_for"))
+                      F.when(waiting, time.daily_bucket(now)).otherwise(time.weekly_bucket(now)).cast("timestamp_ntz").alias("scheduled_for"))
     due = editions.where(F.col("start_at").isNotNull() & F.col("end_at").isNotNull() & (F.col("end_at") <= now))
     return due.select("id", F.explode(F.array_compact(F.array(F.when(~F.col("final_season"), collect), verify))).alias("j")).select("id", "j.*")
 
