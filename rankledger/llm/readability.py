@@ -175,6 +175,51 @@ def _cut(score: np.ndarray, y: np.ndarray, below: int) -> float:
     return float(best[len(best) // 2])
 
 
+# The published formulas, as school grades, of words a sentence, syllables a word, shares of hard and long
+# words, hard words a sentence and letters a word. LIX comes as points, about four of which are one grade.
+GRADES = {
+    "flesch_kincaid": lambda c: 0.39 * c["wps"] + 11.8 * c["spw"] - 15.59,
+    "fog": lambda c: 0.4 * (c["wps"] + 100 * c["hard"]),
+    "smog": lambda c: 1.0430 * np.sqrt(30 * c["hps"]) + 3.1291,
+    "ari": lambda c: 4.71 * c["cpw"] + 0.5 * c["wps"] - 21.43,
+    "lix": lambda c: (c["wps"] + 100 * c["long"]) / 4 - 1,
+}
+
+
+def cross_validated(anchors: DataFrame, text: str, level: str, key: str, folds: int = 5, limit: int = MAX_ANCHORS) -> list[tuple[str, str, int, int]]:
+    """(coefficients, estimate, anchors, placed right) of held-out anchors, for each formula and for the median of all.
+
+    ``published``: grades by the published coefficients, only the cuts between levels are fitted; ``refitted``: the
+    coefficients too, as ``fit`` does. At most ``limit`` anchors, those with the smallest ids.
+    """
+    rows = with_counts(anchors.where(F.col(text).isNotNull() & F.col(level).isNotNull()).orderBy(key).limit(limit).withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds))), text)
+    t = terms()
+    got = rows.select("_fold", F.col(level).cast("int"), *t.values(), *[F.col(f"_counts.{c}") for c in COUNTS]).toPandas().to_numpy(dtype=float)
+    if not len(got):
+        return []
+    fold, y, x = got[:, 0], got[:, 1].astype(int), {k: got[:, i + 2] for i, k in enumerate(t)}
+    words, sentences, syllables, hard, letters, long = (got[:, 2 + len(t) + i] for i in range(len(COUNTS)))
+    words = np.maximum(words, 1)
+    raw = {"wps": words / sentences, "spw": np.maximum(syllables, words) / words, "hard": hard / words, "hps": hard / sentences, "cpw": letters / words, "long": long / words}
+    published = {name: grade(raw) for name, grade in GRADES.items()}
+    right: dict[tuple[str, str], int] = {}
+    for k in range(folds):
+        train, test = fold != k, fold == k
+        if not test.any() or not train.any():
+            continue
+        refitted = {}
+        for name, (a, b) in FORMULAS.items():
+            design = _design(x[a], x[b])
+            refitted[name] = design @ np.linalg.lstsq(design[train], y[train].astype(float), rcond=None)[0]
+        for kind, estimates in (("published", published), ("refitted", refitted)):
+            for name, e in (*estimates.items(), ("median", np.median(np.stack(list(estimates.values())), axis=0))):
+                levels = sorted(set(y[train].tolist()))
+                cuts = [_cut(e[train], y[train].astype(float), lo) for lo in levels[:-1]]
+                placed = np.array(levels)[np.searchsorted(cuts, e[test])]
+                right[kind, name] = right.get((kind, name), 0) + int((placed == y[test]).sum())
+    return [(kind, name, len(y), n) for (kind, name), n in right.items()]
+
+
 def reading_levels(df: DataFrame, text: str, model: LevelModel) -> DataFrame:
     """``df`` without its text, with the five estimates, their median and the level (bigint)."""
     counted = with_counts(df, text)

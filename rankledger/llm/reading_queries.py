@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .readability import fit, reading_levels
+from .readability import cross_validated, fit, reading_levels
 
 
 def _model(spark: SparkSession, sf_dir: str):
@@ -25,5 +25,11 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"), F.round(F.avg("median_estimate"), 4).alias("mean_estimate"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_profile": p9_profile}
+def p9_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many held-out anchors each formula, and the median, places right: by the published coefficients and by refitted ones."""
+    rows = cross_validated(table(spark, sf_dir, "reading_anchors"), "text", "reading_level", "anchor_id")
+    return spark.createDataFrame(rows, "coefficients string, estimate string, anchors bigint, placed_right bigint")
+
+
+QUERIES = {"p9_found": p9_found, "p9_profile": p9_profile, "p9_anchors": p9_anchors}
 ORACLE: dict[str, str] = {}

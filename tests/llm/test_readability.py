@@ -3,7 +3,7 @@ import os
 import pyarrow as pa
 import pytest
 
-from rankledger.llm.readability import COUNTS, count_texts, fit, reading_levels
+from rankledger.llm.readability import COUNTS, count_texts, cross_validated, fit, reading_levels
 
 EASY = "The cat sat. We saw a dog. It ran to me. I like my hat. "
 HARD = "Notwithstanding considerable institutional resistance, interdisciplinary collaboration facilitated comprehensive organisational transformation throughout metropolitan administrations. "
@@ -16,6 +16,21 @@ def test_counts(spark):
     assert all(got[i]["words"] == 0 for i in (2, 3, 4)) and got[5]["words"] == 1
 
 
+def test_short_lines_and_entities():
+    prose = "Rules of the Open\nThe judges &amp; coaches met. They read [the rules] and/or spoke."
+    counts = lambda text, short: dict(zip(COUNTS, map(int, count_texts(pa.array([text]), short)[0].tolist())))
+    assert (counts(prose, 120)["words"], counts(prose, 120)["sentences"]) == (11, 2)
+    assert counts(prose, 0)["words"] == 15
+    assert counts("Rules of the Open\nPage 1", 120)["words"] == 5  # no line of prose: counted whole
+
+
+def test_cross_validation_reports_both_coefficients(spark):
+    anchors = spark.createDataFrame([(i, EASY * (i % 3 + 2) if i % 2 else HARD * (i % 3 + 2), 1 if i % 2 else 5) for i in range(40)], "k int, text string, level int")
+    got = {(k, e): (n, r) for k, e, n, r in cross_validated(anchors, "text", "level", "k")}
+    assert len(got) == 12 and got["published", "median"] == got["refitted", "median"] == (40, 40)
+    assert cross_validated(anchors.where("k > 99"), "text", "level", "k") == []
+
+
 def test_blocks_do_not_change_counts():
     from rankledger.llm import readability
 
