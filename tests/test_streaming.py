@@ -36,8 +36,9 @@ def test_retry_states_keep_across_batches(spark, tmp_path):
 
 
 def test_stability_rearms_and_late_evidence(spark):
-    e = spark.createDataFrame([(1, D(2024, 1, 1)), (1, D(2024, 1, 5)), (2, D(2024, 1, 1))], "k int, ts timestamp_ntz")
-    assert {r["k"]: r["stable"] for r in jobs.stability(e, "k", "ts", "2024-01-08 00:00:00").collect()} == {1: False, 2: True}
+    e = spark.createDataFrame([(1, D(2024, 1, 1)), (1, D(2024, 1, 5)), (2, D(2024, 1, 1)), (9, D(2024, 1, 1))], "k int, ts timestamp_ntz")
+    ends = spark.createDataFrame([(1, D(2023, 12, 1)), (2, D(2023, 12, 1)), (3, D(2024, 1, 1)), (4, D(2024, 1, 2)), (5, None)], "k int, fin timestamp_ntz")
+    assert {r["k"]: (r["evidence"], r["stable"]) for r in jobs.stability(e, ends, "k", "ts", "fin", "2024-01-08 00:00:00").collect()} == {1: (2, False), 2: (1, True), 3: (0, True), 4: (0, False), 5: (0, False)}
     v = spark.createDataFrame([("e", 1, False), ("e", 2, True), ("e", 3, False), ("f", 1, False)], "k string, t int, final boolean")
     assert sorted((r["k"], r["t"], r["status"]) for r in jobs.versions_of_late_evidence(v, "k", "t", "final").collect()) == [("e", 1, "provisional"), ("e", 2, "final"), ("e", 3, "corrected"), ("f", 1, "provisional")]
 
@@ -47,3 +48,20 @@ def test_foreach_batch_sees_all_rows(spark, tmp_path):
     seen = []
     jobs.run_batches(stream, lambda df, n: seen.append(df.agg(F.sum("k")).first()[0]))
     assert sum(x for x in seen if x) == 6
+
+
+def test_scheduled_jobs_and_ready_seasons(spark):
+    rows = [("a", D(2024, 1, 1), D(2024, 1, 2), None, False), ("b", D(2024, 1, 1), D(2024, 1, 9), D(2024, 1, 9), False), ("c", D(2024, 1, 1), D(2024, 1, 2), None, True), ("d", None, D(2024, 1, 2), None, False), ("e", D(2024, 1, 1), D(2024, 2, 2), None, False), ("f", D(2024, 1, 1), None, None, False)]
+    df = spark.createDataFrame(rows, "id string, start_at timestamp_ntz, end_at timestamp_ntz, latest timestamp_ntz, final_season boolean")
+    got = {(r["id"], r["reason"]): str(r["scheduled_for"]) for r in jobs.scheduled_jobs(df, "2024-01-10 12:00:00").collect()}
+    assert got == {("a", "RESULTS_ENDED"): "2024-01-02 00:00:00", ("a", "STABILITY_WEEKLY"): "2024-01-08 08:17:00", ("b", "RESULTS_ENDED"): "2024-01-09 00:00:00", ("b", "STABILITY_DAILY"): "2024-01-10 08:17:00", ("c", "FINAL_SEASON_WEEKLY_CORRECTION"): "2024-01-08 08:17:00"}
+    seasons = df.withColumns({"season_id": F.col("id"), "lineage_id": F.lit("last"), "status": F.when(F.col("id") == "b", "provisional").otherwise("final")})
+    assert [r["season_id"] for r in jobs.ready_seasons(seasons, "2024-01-10 12:00:00", "last").collect()] in (["a", "d"], ["d", "a"])
+
+
+def test_new_evidence_and_dead_letters(spark, tmp_path):
+    stream = frame(spark, tmp_path, [[("e", "x", "1")], [("e", "x", "2"), ("e", "y", "3"), ("f", "x", "4")], [("e", "y", "5")]], "edition_id string, sha256 string, id string")
+    got = sorted((r["edition_id"], r["sha256"]) for r in jobs.run_to_end(jobs.new_evidence(stream)).collect())
+    assert got == [("e", "x"), ("e", "y"), ("f", "x")]
+    states = spark.createDataFrame([("a", 4, "dead_lettered"), ("b", 1, "succeeded")], "job_id string, attempts int, state string")
+    assert [tuple(r) for r in jobs.dead_letters(states).collect()] == [("a", 4, "ATTEMPTS_EXHAUSTED")]
