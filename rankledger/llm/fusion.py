@@ -32,8 +32,8 @@ from ..runtime import Stored, small, store
 class Fusion:
     """Parameters of the model; rounds end early once no source's accuracy moves by more than the tolerance."""
 
-    rounds: int = 6
-    tolerance: float = 0.01
+    rounds: int = 5
+    tolerance: float = 0.02
     false_values: int = 10
     first_accuracy: float = 0.8
     copy_share: float = 0.8
@@ -66,8 +66,8 @@ def _starred(claims: DataFrame) -> DataFrame:
 
 def _posteriors(claims: DataFrame, accuracy: DataFrame | None, copies: DataFrame | None, m: Fusion) -> DataFrame:
     """(_g, _f, _val, _post): a softmax over the values claimed and the false values that nobody claimed."""
-    voted = claims.join(small(accuracy), "_src", "left") if accuracy is not None else claims.withColumn("_acc", F.lit(m.first_accuracy))
-    voted = voted.join(small(copies), ["_src", "_orig"], "left") if copies is not None else voted.withColumn("_dep", F.lit(0.0))
+    voted = claims.join(accuracy, "_src", "left") if accuracy is not None else claims.withColumn("_acc", F.lit(m.first_accuracy))
+    voted = voted.join(copies, ["_src", "_orig"], "left") if copies is not None else voted.withColumn("_dep", F.lit(0.0))
     independent = F.when(F.col("_src") == F.col("_orig"), 1.0).otherwise(1 - m.copy_share * F.coalesce("_dep", F.lit(0.0)))
     vote = F.log(m.false_values * F.col("_acc") / (1 - F.col("_acc"))) * independent
     cell = voted.groupBy("_g", "_f", "_val").agg(F.sum(vote).alias("_s"), F.first("_k").alias("_k"))
@@ -91,7 +91,7 @@ def _copying(judged: DataFrame, accuracy: DataFrame, m: Fusion) -> DataFrame:
     pairs = same.unionByName(differ).groupBy("_src", "_orig").agg(*[F.sum(k).alias(k) for k in ("_kt", "_kf", "_kd")])
     a = accuracy.select("_src", F.col("_acc").alias("_a1"))
     b = accuracy.select(F.col("_src").alias("_orig"), F.col("_acc").alias("_a2"))
-    pairs = pairs.join(small(a), "_src").join(small(b), "_orig")
+    pairs = pairs.join(a, "_src").join(b, "_orig")
     c, n = m.copy_share, m.false_values
     pt, pf = F.col("_a1") * F.col("_a2"), (1 - F.col("_a1")) * (1 - F.col("_a2")) / n
     pd = 1 - pt - pf
@@ -103,21 +103,23 @@ def _copying(judged: DataFrame, accuracy: DataFrame, m: Fusion) -> DataFrame:
 def value_posteriors(records: DataFrame, group: list[str], record: str, source: str, instant: str, fields: list[str], model: Fusion = Fusion()) -> tuple[Stored, Stored, Stored]:
     """Stored (_g, _f, _val, _post), source accuracies (_src, _acc) and copying (_src, _orig, _dep)."""
     claims = store(_starred(claims_of(records, group, record, source, instant, fields)), "fuse-claims")
-    accuracy = copies = None
+    accuracy = copies = known = met = None  # known and met are the two with a hint for broadcast, if they are small
     for _ in range(max(model.rounds, 1)):
-        post = _posteriors(claims.df, accuracy and accuracy.df, copies and copies.df, model)
+        post = _posteriors(claims.df, known, met, model)
         judged = store(claims.df.join(post, ["_g", "_f", "_val"]), "fuse-judged")
         old = accuracy, copies
         accuracy = store(_accuracies(judged.df, model), "fuse-accuracy")
-        copies = store(_copying(judged.df, accuracy.df, model), "fuse-copies")
+        before, known = known, small(accuracy.df)
+        copies = store(_copying(judged.df, known, model), "fuse-copies")
+        met = small(copies.df)
         judged.drop()
-        moved = _moved(old[0] and old[0].df, accuracy.df, model)
+        moved = _moved(before, known, model)
         for o in old:
             if o:
                 o.drop()
         if moved <= model.tolerance:
             break
-    final = store(_posteriors(claims.df, accuracy.df, copies.df, model), "fuse-posteriors")
+    final = store(_posteriors(claims.df, known, met, model), "fuse-posteriors")
     claims.drop()
     return final, accuracy, copies
 
