@@ -192,6 +192,15 @@ def src_11_manifests(spark: SparkSession, sf: str) -> DataFrame:
     return documents.read_manifests(spark, at, "id string, tier int, canonical_name string", glob="*.txt")
 
 
+@query("""SELECT sha256(n_name || ' of ' || r_name || chr(10)) AS sha256, CAST(length(n_name || ' of ' || r_name) + 1 AS BIGINT) AS length FROM nation JOIN region ON r_regionkey = n_regionkey WHERE length(n_name || ' of ' || r_name) < 18""")
+def src_12_bounded_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """One file a nation; those over 18 bytes are never read."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    at = _folder(spark, "blobs")
+    n.select("n_nationkey", F.concat("n_name", F.lit(" of "), "r_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(at)
+    return documents.read_blobs(spark, at, 18).where("path LIKE '%.txt'").select("sha256", "length")
+
+
 @query("""SELECT sha256(text) AS sha256, 'snapshots/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS key, octet_length(encode(text)) AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL))""")
 def snk_01_put_blobs(spark: SparkSession, sf: str) -> DataFrame:
     """Contents of all documents against a manifest that holds every third one already."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon, text, time, url
-from ..operators import checks, identity, matching, views
+from ..operators import checks, choices, identity, matching, views
 from ..operators import store as stores
 from ..runtime import store, table
 from ..streaming import jobs
@@ -123,6 +123,25 @@ def dia_01_identity_codes(spark: SparkSession, sf: str) -> DataFrame:
     return identity.resolve(people(spark, sf), _key_links(spark, sf))[1]
 
 
+_FLAGS = "[[1, 1, 1], [0, 1, 1], [0, 0, 1], [0, 0, 0]]"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, [[[1, 1, 1], [0, 0, 1]], list_slice({_FLAGS}, 1, CAST(c_custkey % 4 + 1 AS BIGINT)), list_slice({_FLAGS}, CAST(c_custkey % 3 + 1 AS BIGINT), 4)] AS slots, [c_custkey % 2 + c_custkey % 5 // 3, 1 + c_custkey % 7 // 4, 2 + c_custkey % 11 // 8] AS totals FROM customer),
+  w AS (SELECT k, i, j, l, slots[1][i + 1] AS a, slots[2][j + 1] AS b, slots[3][l + 1] AS d, totals FROM c, range(4) x(i), range(4) y(j), range(4) z(l) WHERE i < len(slots[1]) AND j < len(slots[2]) AND l < len(slots[3])),
+  f AS (SELECT k, count(*) AS n, min(i || ',' || j || ',' || l) AS chosen FROM w WHERE a[1] + b[1] + d[1] = totals[1] AND a[2] + b[2] + d[2] = totals[2] AND a[3] + b[3] + d[3] = totals[3] GROUP BY 1)
+  SELECT c.k AS c_custkey, CASE WHEN n = 1 THEN chosen END AS chosen, CASE WHEN n IS NULL THEN 'NO_COMBINATION' WHEN n > 1 THEN 'AMBIGUOUS' END AS code FROM c LEFT JOIN f USING (k)""")
+def grf_10_unique_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """Three slots of win, top-three and final flags a customer, and totals that none, one or several combinations reach."""
+    k = F.col("c_custkey")
+    vectors = [[1, 1, 1], [0, 1, 1], [0, 0, 1], [0, 0, 0]]
+    flags = lambda vs: F.array(*[F.array(*[F.lit(x) for x in v]) for v in vs])
+    slots = F.array(flags([vectors[0], vectors[2]]), F.slice(flags(vectors), F.lit(1), (k % 4 + 1).cast("int")), F.slice(flags(vectors), (k % 3 + 1).cast("int"), F.lit(4)))
+    part = lambda m, d: F.floor(k % m / d).cast("int")
+    totals = F.array((k % 2).cast("int") + part(5, 3), 1 + part(7, 4), 2 + part(11, 8))
+    found = choices.unique_choices(table(spark, sf, "customer").select("c_custkey", slots.alias("slots"), totals.alias("totals")), "c_custkey", "slots", "totals")
+    return found.select("c_custkey", F.array_join("chosen", ",").alias("chosen"), "code")
+
+
 # Matching and joins ----------------------------------------------------------------------------------------------------
 
 

@@ -38,3 +38,10 @@ def reviewed_errors(packets: DataFrame, packet: str, name: str, place: str, plac
     want = F.array(*[F.lit(i) for i in range(1, places + 1)])
     code = F.when((F.col("_n") != places) | (F.col("_p") != want), "PLACES_INCOMPLETE").when(F.col("_d") != F.col("_n"), "NAME_REPEATED")
     return g.select(packet, code.alias("code")).where("code IS NOT NULL")
+
+
+def single_packet(packets: DataFrame, packet: str) -> DataFrame:
+    """The rows of the only reviewed packet; none if there is no packet, ValueError if there are several."""
+    if packets.select(packet).distinct().limit(2).count() > 1:
+        raise ValueError("more than one reviewed packet")
+    return packets

@@ -140,9 +140,8 @@ def json_tables(df: DataFrame, id_column: str, text_column: str, selector: str)
     """The array of string arrays under one key of a JSON object; no Python involved."""
     rows = F.from_json(text_column, "map<string,array<array<string>>>")[selector]
     t = df.select(F.col(id_column).cast("string").alias("id"), rows.alias("_r"))
-    good = t.where("_r IS NOT NULL").select("id", F.posexplode("_r").alias("row_no", "cells"), F.lit(None).cast("string").alias("error"))
-    bad = t.where("_r IS NULL").select("id", F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("array<string>").alias("cells"), F.lit("SELECTOR_NOT_FOUND").alias("error"))
-    return good.unionByName(bad)
+    exploded = t.select("id", F.col("_r").isNull().alias("_none"), F.posexplode_outer("_r").alias("row_no", "cells"))
+    return exploded.where("_none OR row_no IS NOT NULL").select("id", "row_no", "cells", F.when(F.col("_none"), "SELECTOR_NOT_FOUND").alias("error"))
 
 
 def map_columns(tables: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankledger import runtime
 from rankledger.functions import canon, text
-from rankledger.operators import checks, identity, store
+from rankledger.operators import checks, choices, identity, store
 
 PEOPLE = "person string, source_person_key string, provider string, name string, school string, event string, entry string"
 
@@ -113,3 +113,18 @@ def test_broadcasts_are_sized_by_rows_and_bytes(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     rows = spark.range(50).withColumn("v", F.lit("x" * 100))
     assert hinted(runtime.small(rows)) and not hinted(runtime.small(rows, limit=49)) and not hinted(runtime.small(rows, most_bytes=4000)) and hinted(runtime.small(rows.where("false")))
+
+
+def test_unique_choices_against_all_combinations(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(120):
+        slots = [[[int(r.random() < 0.4), int(r.random() < 0.6)] for _ in range(r.randrange(1, 4))] for _ in range(r.randrange(0, 5))]
+        rows.append((k, slots, [r.randrange(3), r.randrange(4)]))
+    rows += [(500, None, [0, 0]), (501, [], [0, 0]), (502, [[]], [0, 0]), (503, [], None), (504, [[[1, 0]] for _ in range(40)], [40, 0]), (505, [[[1, 0], [0, 0]] for _ in range(40)], [20, 0])]
+    df = spark.createDataFrame(rows, "k int, slots array<array<array<int>>>, totals array<int>")
+    got = {x["k"]: (x["chosen"], x["code"]) for x in choices.unique_choices(df, "k", "slots", "totals").collect()}
+    for k, slots, totals in rows[:120]:
+        ways = {tuple(c) for c in itertools.product(*[[next(j for j, y in enumerate(s) if y == x) for x in s] for s in slots]) if [sum(s[i][a] for s, i in zip(slots, c)) for a in (0, 1)] == totals}
+        assert got[k] == ((list(next(iter(ways))), None) if len(ways) == 1 else (None, "AMBIGUOUS" if ways else "NO_COMBINATION")), k
+    assert [got[k][1] for k in range(500, 506)] == ["NO_COMBINATION", None, "NO_COMBINATION", "NO_COMBINATION", None, "AMBIGUOUS"] and got[501][0] == [] and got[504][0] == [0] * 40

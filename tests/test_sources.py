@@ -121,3 +121,10 @@ def test_files_and_archive(spark, tmp_path):
     assert [r["r"] for r in spark.createDataFrame([("T12",), ("3",), ("x",)], "c string").select(archives.parse_rank(F.col("c")).alias("r")).collect()] == [12, 3, None]
     (tmp_path / "t.csv").write_text('a,b\n"x ""y""",2\n')
     assert documents.read_csv(spark, str(tmp_path / "t.csv"), "a string, b int").first()["a"] == 'x "y"'
+
+
+def test_one_reviewed_packet_at_most(spark):
+    rows = spark.createDataFrame([("p", 1), ("p", 2)], "packet string, place int")
+    assert archives.single_packet(rows, "packet").count() == 2 and archives.single_packet(rows.where("false"), "packet").count() == 0
+    with pytest.raises(ValueError):
+        archives.single_packet(rows.unionAll(spark.createDataFrame([("q", 1)], rows.schema)), "packet")
