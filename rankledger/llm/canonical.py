@@ -131,8 +131,11 @@ def canonical_sql(relation: str, value: str = "value", out: str = "form") -> str
 def add_form(df: DataFrame, value: str, out: str = "form", extra: str | None = None) -> DataFrame:
     """``df`` with the canonical form of a text column; extra is more SQL on that form, named ``<out>_extra``.
 
-    Rows stay in their partitions; a batch is handed to DuckDB as it comes.
+    Rows stay in their partitions; a batch is handed to DuckDB as it comes. Other columns of these names are replaced.
     """
+    if out == value:
+        raise ValueError("the form needs a name of its own")
+    df = df.drop(*[c for c in (out, f"{out}_extra") if c in df.columns and c != value])
     carried = [c for c in df.columns]
     names = {c: f"c{i}" for i, c in enumerate(carried)}
     sql = canonical_sql("batch", names[value], "form")

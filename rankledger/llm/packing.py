@@ -325,6 +325,8 @@ class Fit:
 def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]], bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, list[Fit]]:
     """((pack_id, container_id, key, piece, token_from, n_tokens) for every item, its pieces and every (pack_id, capacity), fits)."""
     spark = items.sparkSession
+    if key in ("pack_id", "container_id", "piece", "token_from", "n_tokens"):
+        raise ValueError(f"the key cannot be named {key}")
     if not capacities:
         return spark.createDataFrame([], f"pack_id bigint, container_id bigint, `{key}` {dict(items.dtypes)[key]}, piece bigint, token_from bigint, n_tokens bigint"), []
     if any(not 0 < c < CAPACITIES for _, c in capacities):

@@ -111,17 +111,19 @@ def count_texts(texts: pa.Array, short_line: int = SHORT_LINE) -> np.ndarray:
 
 
 def with_counts(df: DataFrame, text: str, out: str = "_counts") -> DataFrame:
-    """``df`` with a struct of COUNTS in place of its text."""
-    kept = [(c, t) for c, t in df.dtypes if c != text]
-    schema = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in kept] + [f"`_n{i}` double" for i in range(len(COUNTS))])
+    """``df`` with a struct of COUNTS, named ``out``, in place of its text; another column of that name is replaced."""
+    kept = [(c, t) for c, t in df.dtypes if c not in (text, out)]
+    inner = [f"c{i}" for i in range(len(kept))]
+    schema = ", ".join([f"{i} {t}" for i, (_, t) in zip(inner, kept)] + [f"{c} double" for c in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = count_texts(b.column(len(kept)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))]], names=[*[c for c, _ in kept], *[f"_n{i}" for i in range(len(COUNTS))]])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))]], names=[*inner, *COUNTS])
 
-    counted = df.select(*[c for c, _ in kept], text).mapInArrow(run, schema)
-    return counted.select(*[c for c, _ in kept], F.struct(*[F.col(f"_n{i}").alias(c) for i, c in enumerate(COUNTS)]).alias(out))
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    counted = df.select(*[quoted(c).alias(i) for i, (c, _) in zip(inner, kept)], quoted(text).alias("text")).mapInArrow(run, schema)
+    return counted.select(*[F.col(i).alias(c) for i, (c, _) in zip(inner, kept)], F.struct(*COUNTS).alias(out))
 
 
 def terms(counts: str = "_counts") -> dict[str, Column]:
@@ -221,8 +223,11 @@ def cross_validated(anchors: DataFrame, text: str, level: str, key: str, folds:
 
 
 def reading_levels(df: DataFrame, text: str, model: LevelModel) -> DataFrame:
-    """``df`` without its text, with the five estimates, their median and the level (bigint)."""
-    counted = with_counts(df, text)
+    """``df`` without its text, with the five estimates, their median and the level (bigint); columns of these names are replaced."""
+    results = [*[f"{name}_estimate" for name in FORMULAS], "median_estimate", "reading_level"]
+    rest = [c for c in df.columns if c != text and c not in results]
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    counted = with_counts(df.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("z")).alias("_row"), quoted(text).alias("_text")), "_text")
     t = terms()
     counted = counted.withColumns({f"_{k}": v for k, v in t.items()})
     estimates = {}
@@ -236,4 +241,4 @@ def reading_levels(df: DataFrame, text: str, model: LevelModel) -> DataFrame:
     for value, cut in model.cuts:
         level = F.when(F.col("median_estimate") > cut, F.lit(value)).otherwise(level)
     counted = counted.withColumn("reading_level", F.when(F.col("median_estimate").isNotNull(), level).cast("bigint"))
-    return counted.drop("_counts", *[f"_{k}" for k in t])
+    return counted.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(rest)], *results)

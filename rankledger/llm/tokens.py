@@ -44,10 +44,11 @@ def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
 def with_token_counts(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str = VOCABULARY, extra: dict[str, Callable[[pa.Array], np.ndarray]] | None = None) -> DataFrame:
     """``df`` without its text and with the number of its tokens; a null text has none.
 
-    extra: further double columns, each by a function of the batch's texts, so that texts cross to Python once.
+    extra: further double columns, each by a function of the batch's texts, so that texts cross to Python once. Columns
+    of the new names are replaced.
     """
     more = extra or {}
-    kept = [(c, t) for c, t in df.dtypes if c != text]
+    kept = [(c, t) for c, t in df.dtypes if c != text and c != out and c not in more]
     ordered = df.select(*[c for c, _ in kept], text)
     schema = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in kept] + [f"{out} bigint"] + [f"{name} double" for name in more])
 

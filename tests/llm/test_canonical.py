@@ -43,3 +43,8 @@ def test_a_final_line_end_is_not_plain(spark):
     values = ["Ann Lee", "", *("Ann Lee" + end for end in ("\n", "\r", "\r\n", "\x85", "\u2028", "\u2029"))]
     df = spark.createDataFrame([(v,) for v in values], "value string")
     assert {r["value"] for r in df.where(not_plain_ascii(df["value"])).collect()} == set(values[2:])
+
+
+def test_a_column_of_the_result_is_replaced(spark):
+    got = add_form(spark.createDataFrame([("Ａ", "old", "x")], "value string, form string, form_extra string"), "value", extra="upper({form})").collect()
+    assert [r.asDict() for r in got] == [{"value": "Ａ", "form": "A", "form_extra": "A"}]

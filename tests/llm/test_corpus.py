@@ -152,3 +152,14 @@ def test_weights_favour_heavy_documents(spark):
     used, _ = mix(sized, "doc", "src", "n", "w", [("a", 0.5, 1), ("b", 0.5, 1)])
     odd = [row["doc"] % 2 for row in used.collect() if row["src"] == "a"]
     assert 390 <= len(odd) <= 410 and sum(odd) / len(odd) > 0.8
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs the vocabulary file")
+def test_token_counts_replace_columns_of_their_names(spark):
+    from rankledger.llm.tokens import with_token_counts
+
+    df = spark.createDataFrame([(1, "two words", "old", 5.0), (2, None, "old", 5.0), (3, "", "old", 5.0)], "k int, text string, n_tokens string, weight double")
+    got = with_token_counts(df, "text", extra={"weight": quality}).collect()
+    assert {r["k"]: (r["n_tokens"], r["weight"] == 5.0) for r in got} == {1: (2, False), 2: (0, False), 3: (0, False)}
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([(1, 2)], "piece int, n int"), "piece", "n", [(1, 5)])

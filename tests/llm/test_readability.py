@@ -64,3 +64,12 @@ def test_held_out_accuracy(spark):
         for r in reading_levels(test, "text", model).select("want", "reading_level").collect():
             right, total = right + (r["want"] == r["reading_level"]), total + 1
     assert total == anchors.count() and right / total >= 0.95
+
+
+def test_columns_of_any_name(spark):
+    anchors = spark.createDataFrame([(i, EASY * 3 if i % 2 else HARD * 3, 1 if i % 2 else 5) for i in range(8)], "k int, text string, level int")
+    docs = spark.createDataFrame([(1, EASY * 9, "p", "q", 9, "r", "s")], "id int, words string, _counts string, _wps string, reading_level int, `a.b` string, c0 string")
+    got = reading_levels(docs, "words", fit(anchors, "text", "level", "k"))
+    assert got.columns[:5] == ["id", "_counts", "_wps", "a.b", "c0"] and len(got.columns) == len(set(got.columns))
+    row = got.first()
+    assert (row["_counts"], row["_wps"], row["a.b"], row["c0"], row["reading_level"]) == ("p", "q", "r", "s", 1)
