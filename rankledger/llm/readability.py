@@ -9,8 +9,8 @@ Five formulas give one estimate each, by the terms of Flesch-Kincaid (words a se
 (words a sentence, share of words of three syllables and more), SMOG (such words a sentence, syllables a word), ARI
 (words a sentence, letters a word) and LIX (words a sentence, share of words of over six letters). Their published
 coefficients give school grades; for the anchors' scale each formula keeps its terms (in logarithms, with squares) and
-its coefficients are fitted by least squares on the anchors. The median of the five is cut at the borders between levels
-that misplace the fewest anchors.
+its coefficients are fitted by least squares on the anchors. The weighted median of the five, each weighing as much as its
+squared error on the anchors is small, is cut at the borders between levels that misplace the fewest anchors.
 
 Lines of fewer than ``short_line`` bytes without closing punctuation (headings, page lines, addresses) and names of
 character entities (&amp;) are no prose and not counted; a text without any line of prose is counted whole. Text without a single letter,
@@ -136,9 +136,10 @@ def terms(counts: str = "_counts") -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class LevelModel:
-    """Least-squares coefficients of each formula and the cuts between levels of their median."""
+    """Least-squares coefficients and weight of each formula, and the cuts between levels of their weighted median."""
 
     coefficients: dict[str, list[float]]
+    weights: dict[str, float]
     cuts: list[tuple[int, float]]
     lowest: int | None
 
@@ -153,16 +154,30 @@ def fit(anchors: DataFrame, text: str, level: str, key: str, limit: int = MAX_AN
     t = terms()
     got = rows.select(F.col(level).cast("int"), *t.values()).toPandas().to_numpy(dtype=float)
     if not len(got):
-        return LevelModel({}, [], None)
+        return LevelModel({}, {}, [], None)
     y, x = got[:, 0], {k: got[:, i + 1] for i, k in enumerate(t)}
     betas, estimates = {}, []
     for name, (a, b) in FORMULAS.items():
         design = _design(x[a], x[b])
         betas[name] = np.linalg.lstsq(design, y, rcond=None)[0].tolist()
         estimates.append(design @ np.array(betas[name]))
-    middle = np.median(np.stack(estimates), axis=0)
+    weights = _weights(np.stack(estimates), y)
+    middle = _weighted_median(np.stack(estimates), weights)
     levels = sorted(set(y.astype(int).tolist()))
-    return LevelModel(betas, [(hi, _cut(middle, y, lo)) for lo, hi in zip(levels, levels[1:])], levels[0])
+    return LevelModel(betas, dict(zip(betas, weights.tolist())), [(hi, _cut(middle, y, lo)) for lo, hi in zip(levels, levels[1:])], levels[0])
+
+
+def _weights(estimates: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shares of the formulas' say: inverse mean squared errors (none below a thousandth of a level squared)."""
+    w = 1 / np.maximum(((estimates - y) ** 2).mean(axis=1), 1e-3)
+    return w / w.sum()
+
+
+def _weighted_median(estimates: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each column: the smallest estimate up to which half of the weights lie."""
+    order = np.argsort(estimates, axis=0, kind="stable")
+    reached = np.cumsum(weights[order], axis=0) >= 0.5 - 1e-12
+    return np.take_along_axis(np.take_along_axis(estimates, order, 0), reached.argmax(axis=0)[None], 0)[0]
 
 
 def _cut(score: np.ndarray, y: np.ndarray, below: int) -> float:
@@ -189,7 +204,7 @@ GRADES = {
 
 
 def cross_validated(anchors: DataFrame, text: str, level: str, key: str, folds: int = 5, limit: int = MAX_ANCHORS) -> list[tuple[str, str, int, int]]:
-    """(coefficients, estimate, anchors, placed right) of held-out anchors, for each formula and for the median of all.
+    """(coefficients, estimate, anchors, placed right) of held-out anchors, for each formula, and for their median and weighted median.
 
     ``published``: grades by the published coefficients, only the cuts between levels are fitted; ``refitted``: the
     coefficients too, as ``fit`` does. At most ``limit`` anchors, those with the smallest ids.
@@ -214,7 +229,11 @@ def cross_validated(anchors: DataFrame, text: str, level: str, key: str, folds:
             design = _design(x[a], x[b])
             refitted[name] = design @ np.linalg.lstsq(design[train], y[train].astype(float), rcond=None)[0]
         for kind, estimates in (("published", published), ("refitted", refitted)):
-            for name, e in (*estimates.items(), ("median", np.median(np.stack(list(estimates.values())), axis=0))):
+            stacked = np.stack(list(estimates.values()))
+            joined = [("median", np.median(stacked, axis=0))]
+            if kind == "refitted":
+                joined.append(("weighted_median", _weighted_median(stacked, _weights(stacked[:, train], y[train]))))
+            for name, e in (*estimates.items(), *joined):
                 levels = sorted(set(y[train].tolist()))
                 cuts = [_cut(e[train], y[train].astype(float), lo) for lo in levels[:-1]]
                 placed = np.array(levels)[np.searchsorted(cuts, e[test])]
@@ -235,7 +254,10 @@ def reading_levels(df: DataFrame, text: str, model: LevelModel) -> DataFrame:
         k, p, q = model.coefficients.get(name) or [None] * 6, F.col(f"_{a}"), F.col(f"_{b}")
         estimates[f"{name}_estimate"] = F.lit(k[0]).cast("double") + p * k[1] + q * k[2] + p * p * k[3] + p * q * k[4] + q * q * k[5] if k[0] is not None else F.lit(None).cast("double")
     counted = counted.withColumns(estimates)
-    middle = F.element_at(F.sort_array(F.array(*estimates)), len(estimates) // 2 + 1)
+    said = F.array_sort(F.array(*[F.struct(F.col(f"{name}_estimate").alias("e"), F.lit(model.weights.get(name, 0.0)).alias("w")) for name in FORMULAS]))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"))
+    reach = lambda acc, x: F.struct((acc.c + x.w).alias("c"), F.coalesce(acc.v, F.when(acc.c + x.w >= 0.5 - 1e-12, x.e)).alias("v"))
+    middle = F.aggregate(said, start, reach, lambda acc: acc.v)
     counted = counted.withColumn("median_estimate", F.when(F.col("_counts.letters") > 0, middle))
     level = F.lit(model.lowest)
     for value, cut in model.cuts:

@@ -27,7 +27,7 @@ def test_short_lines_and_entities():
 def test_cross_validation_reports_both_coefficients(spark):
     anchors = spark.createDataFrame([(i, EASY * (i % 3 + 2) if i % 2 else HARD * (i % 3 + 2), 1 if i % 2 else 5) for i in range(40)], "k int, text string, level int")
     got = {(k, e): (n, r) for k, e, n, r in cross_validated(anchors, "text", "level", "k")}
-    assert len(got) == 12 and got["published", "median"] == got["refitted", "median"] == (40, 40)
+    assert len(got) == 13 and got["published", "median"] == got["refitted", "median"] == (40, 40)
     assert cross_validated(anchors.where("k > 99"), "text", "level", "k") == []
 
 
@@ -66,6 +66,26 @@ def test_held_out_accuracy(spark):
     assert total == anchors.count() and right / total >= 0.95
 
 
+def test_weighted_median_in_spark_and_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from rankledger.llm import readability as R
+
+    r = random.Random(5)
+    words = (EASY + HARD).split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(20, 90))) + "." for _ in range(60)]
+    anchors = spark.createDataFrame([(i, t, 1 + i % 5) for i, t in enumerate(texts)], "k int, text string, level int")
+    model = fit(anchors, "text", "level", "k")
+    assert abs(sum(model.weights.values()) - 1) < 1e-9
+    for row in reading_levels(anchors, "text", model).collect():
+        e, w = np.array([row[f"{n}_estimate"] for n in R.FORMULAS]), np.array([model.weights[n] for n in R.FORMULAS])
+        assert abs(R._weighted_median(e[:, None], w)[0] - row["median_estimate"]) < 1e-9
+        below, above = w[e < row["median_estimate"] - 1e-12].sum(), w[e > row["median_estimate"] + 1e-12].sum()
+        assert below < 0.5 + 1e-9 and above <= 0.5 + 1e-9
+
+
 def test_columns_of_any_name(spark):
     anchors = spark.createDataFrame([(i, EASY * 3 if i % 2 else HARD * 3, 1 if i % 2 else 5) for i in range(8)], "k int, text string, level int")
     docs = spark.createDataFrame([(1, EASY * 9, "p", "q", 9, "r", "s")], "id int, words string, _counts string, _wps string, reading_level int, `a.b` string, c0 string")
