@@ -434,3 +434,19 @@ def stm_10_new_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def stm_12_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     e = jobs.read_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 5 == 0).alias("ok"))
     return jobs.dead_letters(jobs.run_to_end(jobs.retry_states(e)))
+
+
+_JOB_EVENTS = ["enqueued", "started", "failed", "started", "started", "failed", "succeeded", "started", "refused", "failed", "started", "succeeded", "started"]
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(event_id AS BIGINT) AS seq, CASE WHEN row_number() OVER w = 1 THEN 'enqueued' ELSE list_extract({_JOB_EVENTS}, CAST(event_id % 13 + 1 AS INT)) END AS event, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  r AS (SELECT job_id, n, seq, 'queued' AS state, 0 AS attempts, true AS changed FROM e WHERE n = 1
+    UNION ALL SELECT e.job_id, e.n, e.seq, CASE WHEN event = 'started' AND state IN ('queued', 'retrying') THEN 'running' WHEN state = 'running' AND event = 'succeeded' THEN 'succeeded' WHEN state = 'running' AND event = 'refused' THEN 'failed' WHEN state = 'running' AND event = 'failed' THEN CASE WHEN attempts >= 4 THEN 'dead_lettered' ELSE 'retrying' END ELSE state END,
+      attempts + CASE WHEN event = 'started' AND state IN ('queued', 'retrying') THEN 1 ELSE 0 END, (event = 'started' AND state IN ('queued', 'retrying')) OR (state = 'running' AND event IN ('succeeded', 'refused', 'failed')) FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1)
+  SELECT job_id, seq, state, CAST(attempts AS INT) AS attempts, CAST(CASE WHEN state = 'retrying' THEN CASE attempts WHEN 1 THEN 900 WHEN 2 THEN 3600 ELSE 21600 END END AS INT) AS wait_seconds FROM r WHERE changed""")
+def stm_03_job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A job a user: enqueued by its first event, then whatever comes, fitting or not."""
+    first = table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("_first"))
+    e = jobs.read_stream(spark, sf, "events").join(first, "user_id")
+    event = F.when(F.col("event_id") == F.col("_first"), "enqueued").otherwise(F.element_at(F.array(*[F.lit(x) for x in _JOB_EVENTS]), (F.col("event_id") % 13 + 1).cast("int")))
+    return jobs.run_to_end(jobs.job_states(e.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").cast("bigint").alias("seq"), event.alias("event"))))

@@ -94,6 +94,45 @@ def retry_states(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("job_id").applyInPandasWithState(step, RETRY_OUT, "attempts int, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+STATES_OUT = "job_id string, seq long, state string, attempts int, wait_seconds int"
+# State and event, and the state that follows; a failure leads on by the number of attempts.
+TRANSITIONS = {
+    ("", "enqueued"): "queued", ("queued", "started"): "running", ("retrying", "started"): "running",
+    ("running", "succeeded"): "succeeded", ("running", "refused"): "failed", ("running", "failed"): "retrying",
+}
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """job_id, seq, event: every change of state of every job, kept per job across micro-batches.
+
+    A start counts an attempt; a failure waits as ``retry_states`` does, or is the dead letter after the last attempt; a
+    refused job has failed for good. Events that do not fit the state, such as a second start of a running job, change
+    nothing. Events of one micro-batch are taken in the order of seq.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, attempts = state.get if state.exists else ("", 0)
+        out = []
+        for seq, event in pd.concat(list(batches)).sort_values("seq", kind="stable")[["seq", "event"]].itertuples(index=False):
+            after = TRANSITIONS.get((now, event))
+            if after is None:
+                continue
+            attempts += after == "running"
+            wait = None
+            if after == "retrying":
+                if attempts >= MAX_ATTEMPTS:
+                    after = "dead_lettered"
+                else:
+                    wait = BACKOFF[min(attempts, len(BACKOFF)) - 1]
+            now = after
+            out.append((key[0], seq, now, attempts, wait))
+        state.update((now, attempts))
+        frame = pd.DataFrame(out, columns=["job_id", "seq", "state", "attempts", "wait_seconds"])
+        yield frame.astype({"seq": "int64", "attempts": "int32", "wait_seconds": "Int32"})
+
+    return events.groupBy("job_id").applyInPandasWithState(step, STATES_OUT, "state string, attempts int", "append", GroupStateTimeout.NoTimeout)
+
+
 STABLE_DAYS = 7
 
 

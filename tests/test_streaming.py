@@ -65,3 +65,14 @@ def test_new_evidence_and_dead_letters(spark, tmp_path):
     assert got == [("e", "x"), ("e", "y"), ("f", "x")]
     states = spark.createDataFrame([("a", 4, "dead_lettered"), ("b", 1, "succeeded")], "job_id string, attempts int, state string")
     assert [tuple(r) for r in jobs.dead_letters(states).collect()] == [("a", 4, "ATTEMPTS_EXHAUSTED")]
+
+
+def test_job_states_across_batches(spark, tmp_path):
+    words = [["enqueued"], ["started", "started", "failed"], ["succeeded", "started"], ["refused", "started"]]
+    parts, seq = [], 0
+    for batch in words:
+        parts.append([("a", (seq := seq + 1), w) for w in batch])
+    parts[1] += [("b", k, w) for k, w in enumerate(["succeeded", "enqueued", *(["started", "failed"] * 5)], 100)]
+    got = sorted(tuple(r) for r in jobs.run_to_end(jobs.job_states(frame(spark, tmp_path, parts, "job_id string, seq long, event string"))).collect())
+    assert [r[1:] for r in got if r[0] == "a"] == [(1, "queued", 0, None), (2, "running", 1, None), (4, "retrying", 1, 900), (6, "running", 2, None), (7, "failed", 2, None)]
+    assert [r[2] for r in got if r[0] == "b"] == ["queued", *(["running", "retrying"] * 3), "running", "dead_lettered"]
