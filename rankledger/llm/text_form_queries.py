@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.function_queries import nfkc_sql
 from ..runtime import table
-from .canonical import add_form, canonical_sql, not_plain_ascii
+from .canonical import add_form, not_plain_ascii
 
 FIELDS = ["published_name", "published_school"]
 
@@ -43,8 +44,25 @@ _ODD = f"""(regexp_matches(value, '[\\p{{Cc}}\\p{{Cf}}\\p{{Zl}}\\p{{Zp}}\\x{{34F
     OR (regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]')) OR regexp_full_match(w, '[^\\p{{L}}]*[АВЕЅІЈКМНОРСТУХаеѕіјорсухһΑΒΕΖΗΙΚΜΝΟΡΤΥΧον][^\\p{{L}}]*')
     OR regexp_full_match(w, '[АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ.''-]*[АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ][АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ.''-]*') OR regexp_full_match(w, '[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναικρυ.''-]*[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναικρυ][ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναικρυ.''-]*'))) > 0))"""
 
+# Letters of other scripts and their Latin twins, listed here by name of the letters' usual order, apart from the operator's.
+_CYR, _CYR_LATIN = "АВЕЁЅІЇЈКМНОРСТУХаеёѕіїјорсухһԁԛԝ", "ABEËSIÏJKMHOPCTYXaeësiïjopcyxhdqw"
+_GRE, _GRE_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυάίό", "ABEZHIKMNOPTYXaikvopuáíó"
+_REST, _REST_LATIN = "ɑɡɩ‐‑−", "agi---"
+
+
+def _plain_form(v: str) -> str:
+    """The form of a value in SQL written apart from the operator: blocks of compatibility letters by their layout, words by their letters."""
+    seen = f"regexp_replace(regexp_replace({v}, '[\\t-\\r\\x{{85}}\\p{{Zs}}\\p{{Zl}}\\p{{Zp}}\\x{{2800}}]', ' ', 'g'), '[\\p{{Cc}}\\p{{Cf}}\\x{{34F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+    only = lambda text, own: f"translate({text}, '{own}', '')"
+    whole = lambda script, own: f"(regexp_matches({only('w', own)}, '{script}') OR (regexp_matches({only('t', own)}, '{script}') AND regexp_matches(w, '{script}') AND NOT regexp_matches({only('t', _CYR_LATIN + _GRE_LATIN)}, '[A-Za-z]')))"
+    word = f"""CASE WHEN {whole('\\p{Cyrillic}', _CYR)} THEN translate(translate(w, '{_GRE}', '{_GRE_LATIN}'), '{_CYR_LATIN}', '{_CYR}') WHEN {whole('\\p{Greek}', _GRE)} THEN translate(translate(w, '{_CYR}', '{_CYR_LATIN}'), '{_GRE_LATIN}', '{_GRE}')
+      ELSE translate(w, '{_CYR + _GRE + _REST}', '{_CYR_LATIN + _GRE_LATIN + _REST_LATIN}') END"""
+    return f"list_extract(list_transform([{nfkc_sql(seen)}], lambda t: CASE WHEN regexp_matches(t, '\\p{{Latin}}') THEN array_to_string(list_transform(string_split(t, ' '), lambda w: {word}), ' ') ELSE t END), 1)"
+
+
 QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms}
 ORACLE = {
     "p2_found": f"SELECT DISTINCT table_name, row_id, field_name FROM {_VALUES} WHERE {_ODD}",
-    "p2_forms": f"SELECT table_name, field_name, form, count(DISTINCT value) AS spellings, count(*) AS value_rows, CAST(sum(CASE WHEN form <> value THEN 1 ELSE 0 END) AS BIGINT) AS changed_rows FROM ({canonical_sql(_VALUES)}) GROUP BY 1, 2, 3",
+    "p2_forms": f"""SELECT table_name, field_name, form, count(DISTINCT value) AS spellings, count(*) AS value_rows, CAST(sum(CASE WHEN form <> value THEN 1 ELSE 0 END) AS BIGINT) AS changed_rows
+      FROM (SELECT *, CASE WHEN {_ODD} THEN {_plain_form('value')} ELSE value END AS form FROM {_VALUES}) GROUP BY 1, 2, 3""",
 }
