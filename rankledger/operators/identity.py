@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.canon import numbered
 from ..functions.text import similar_98
 from ..runtime import store
+from .checks import latest
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -98,6 +99,16 @@ def stable_conflicts(people: DataFrame, key: str, name: str, event: str, entry:
     return names.join(twice, key, "left").select(key, code.alias("code")).where("code IS NOT NULL")
 
 
+#: Keys by which rows of result sets are one source person: within a collected set, within a packet, within a season's evidence.
+PERSON_KEYS = {"set": ["result_set_id", "source_entry_id"], "packet": ["snapshot_id", "event_key", "source_entry_id"], "season": ["source_person_key", "edition_id", "event_key"]}
+
+
+def source_people(results: DataFrame, variant: str, order: list[str]) -> DataFrame:
+    """One row a source person by one of PERSON_KEYS: the last in the given order; rows without the key's columns name nobody."""
+    keys = PERSON_KEYS[variant]
+    return latest(results.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])), keys, order)
+
+
 def evidence_ids(people: DataFrame, order: list[str]) -> DataFrame:
     """``people`` with ``evidence_id``, the place from 1 in the total order of the columns (nulls first)."""
     return numbered(people, order, "evidence_id")

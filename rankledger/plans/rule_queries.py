@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
 _PEOPLE_SQL = f"""people AS (SELECT DISTINCT id AS person, source_person_key AS k, split_part(source_person_key, ':', 1) AS provider, published_name AS name, coalesce(published_school, '') AS school, edition_id || '|' || event_key AS event, source_entry_id AS entry FROM results WHERE {_PEOPLE})"""
 
 
+_VARIANT = "SELECT '{v}' AS variant, concat_ws('|', {k}) AS person, arg_max(id, (ingested_at, id)) AS last_id FROM results WHERE {w} GROUP BY {k}"
+
+
+@query(" UNION ALL ".join(_VARIANT.format(v=v, k=", ".join(k), w=" AND ".join(f"{c} IS NOT NULL" for c in k)) for v, k in identity.PERSON_KEYS.items()))
+def prj_08_source_people(spark: SparkSession, sf: str) -> DataFrame:
+    """Source people by each of the three keys; of several rows the last to arrive."""
+    r = table(spark, sf, "results")
+    one = lambda v, k: identity.source_people(r, v, ["ingested_at", "id"]).select(F.lit(v).alias("variant"), F.concat_ws("|", *k).alias("person"), F.col("id").alias("last_id"))
+    return reduce(DataFrame.unionByName, [one(v, k) for v, k in identity.PERSON_KEYS.items()])
+
+
 @query(f"""WITH {_PEOPLE_SQL}, n AS (SELECT k FROM people GROUP BY 1 HAVING count(DISTINCT name) > 1), e AS (SELECT DISTINCT k FROM (SELECT k, event FROM people GROUP BY 1, 2 HAVING count(DISTINCT entry) > 1))
   SELECT DISTINCT k AS source_person_key, CASE WHEN k IN (SELECT k FROM n) THEN 'NAMES_DIFFER' ELSE 'ENTRIES_DIFFER' END AS code FROM people WHERE k IN (SELECT k FROM n) OR k IN (SELECT k FROM e)""")
 def grf_02_jon_14_stable_conflicts(spark: SparkSession, sf: str) -> DataFrame:

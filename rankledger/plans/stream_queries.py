@@ -126,12 +126,6 @@ def val_01_val_03_rules(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", checks.first_failure(rules).alias("error_code"))
 
 
-@query("SELECT edition_id, max_by(id, (ingested_at, id)) AS last_id FROM result_sets WHERE edition_id IS NOT NULL GROUP BY 1")
-def prj_08_last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "result_sets").where("edition_id IS NOT NULL").select("edition_id", "id", "ingested_at")
-    return checks.latest(r, ["edition_id"], ["ingested_at", "id"]).select("edition_id", F.col("id").alias("last_id"))
-
-
 @query("SELECT id, coalesce(source_person_key, 'document:entry:' || sha256('[\"' || coalesce(edition_id, '') || '\",\"' || coalesce(source_entry_id, '') || '\"]')) AS person FROM (SELECT DISTINCT id, source_person_key, edition_id, source_entry_id FROM results)")
 def prj_10_synthetic_person(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "results").select("id", "source_person_key", "edition_id", "source_entry_id").distinct()
