@@ -72,15 +72,21 @@ def chunked_hash(df: DataFrame, columns: list[str], order: list[str], chunk_rows
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "_n") -> DataFrame:
-    """``df`` with the place of every row, from 1, in the total order of the columns (nulls first).
+    """``df`` with the place of every row, from 1, in the total order of the columns (nulls first)."""
+    return running_total(df, order, F.lit(1).cast("bigint"), out)
 
-    Ranges of the order are sorted apart and numbered behind each other's counts: one row a range reaches a window.
+
+def running_total(df: DataFrame, order: list[str], amount: Column, out: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows up to each, in the total order of the columns (nulls first; a null amount is none).
+
+    Ranges of the order are sorted apart and summed behind each other's totals: one row a range reaches a window.
     """
-    held = store(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranges").df
-    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))  # one row a partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return held.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(out, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_part", "_place", "_before")
+    priced = df.withColumn("_amount", F.coalesce(amount.cast("bigint"), F.lit(0).cast("bigint")))
+    held = store(priced.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranges").df
+    totals = held.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
+    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # one row a partition
+    own = F.sum("_amount").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_own") + F.col("_before")).drop("_part", "_amount", "_own", "_before")
 
 
 def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -273,3 +273,12 @@ def snk_07_report_top(spark: SparkSession, sf: str) -> DataFrame:
     return best.where("_n <= 100").select("edition_id", "season_id", "awards", F.col("points").cast("bigint").alias("points"), "place")
 
 
+
+
+_LIMIT = 200_000
+
+
+@query(f"""SELECT doc_id, CAST(b AS BIGINT) AS bytes_read, CASE WHEN b <= {_LIMIT} THEN sha256(text) END AS sha256, CASE WHEN b > {_LIMIT} THEN 'SOURCE_TOO_LARGE' END AS error FROM (SELECT doc_id, text, sum(coalesce(octet_length(encode(text)), 0)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS b FROM documents)""")
+def stm_13_bounded_reading(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as one source in the order of their ids, of which so many bytes may be read."""
+    return documents.bounded(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", _LIMIT).select("doc_id", "bytes_read", "sha256", "error")

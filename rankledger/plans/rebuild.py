@@ -86,8 +86,13 @@ def e1_jon_07_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return mapped_results(spark, sf)[1].groupBy("code").agg(F.count(F.lit(1)).alias("results"))
 
 
-QUERIES = {"e1_rebuild_standings": e1_rebuild_standings, "e1_jon_07_diagnostics": e1_jon_07_diagnostics}
+def prj_07_scoring_input(spark: SparkSession, sf: str) -> DataFrame:
+    return mapped_results(spark, sf)[0].select("id", "edition_id", "event_id", "competitor_id", "season_id", "tier", "division", "placement", "furthest_stage", "won_final_round")
+
+
+QUERIES = {"e1_rebuild_standings": e1_rebuild_standings, "e1_jon_07_diagnostics": e1_jon_07_diagnostics, "prj_07_scoring_input": prj_07_scoring_input}
 ORACLE = {
+    "prj_07_scoring_input": REBUILD_SQL + "SELECT id, edition_id, event_id, c AS competitor_id, season_id, tier, division, placement, stage AS furthest_stage, won AS won_final_round FROM m",
     "e1_rebuild_standings": REBUILD_SQL + "SELECT *, rank() OVER (PARTITION BY season_id ORDER BY points DESC, wins DESC, top_threes DESC, finals DESC) AS standing_rank FROM tot",
     "e1_jon_07_diagnostics": _SETS + """, sel AS (SELECT d.id AS rsid FROM d JOIN g ON d.edition_id = g.edition_id AND d.event_id = g.event_id AND d.event_division IS NOT DISTINCT FROM g.event_division WHERE NOT conflict AND snapshot_id = win),
   n AS (SELECT source_person_key AS k, count(*) AS n FROM (SELECT DISTINCT source_person_key, competitor_id FROM identity_matches WHERE source_person_key IS NOT NULL AND competitor_id IS NOT NULL) GROUP BY 1)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import canon
 from ..functions import text as tx
 
 CELLS = "id string, row_no int, cells array<string>, error string"
@@ -36,6 +37,13 @@ def read_blobs(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def bounded(contents: DataFrame, order: list[str], content: str, max_bytes: int) -> DataFrame:
+    """``contents`` with the bytes read up to and with each in the given total order, its digest, and SOURCE_TOO_LARGE (without a digest) once they pass the limit."""
+    read = canon.running_total(contents, order, F.octet_length(F.col(content)), "bytes_read")
+    fits = F.col("bytes_read") <= max_bytes
+    return read.withColumns({"sha256": F.when(fits, F.sha2(F.col(content).cast("binary"), 256)), "error": F.when(~fits, "SOURCE_TOO_LARGE")})
+
+
 def _csv_rows(body: str) -> list[list[str]]:
     if body.startswith("﻿"):
         raise ValueError("BOM")

@@ -59,6 +59,8 @@ def test_hash_in_chunks_and_numbers(spark):
     got = sorted((r["n"], r["b"]) for r in canon.numbered(df, ["a", "b"], "n").collect())
     assert [b for _, b in got] == [b for _, b in sorted(((a is not None, a or 0), b) for a, b, _ in rows)] and [n for n, _ in got] == list(range(1, 201))
     assert canon.numbered(df.where("false"), ["a"]).collect() == []
+    sums = {r["b"]: r["s"] for r in canon.running_total(df.withColumn("_amount", F.lit("x")), ["b"], F.when(F.col("b") % 3 > 0, F.col("b")), "s").collect()}
+    assert sums == {i: sum(k for k in range(i + 1) if k % 3) for i in range(200)}
 
 
 def test_guarded_update_and_migration(spark):
