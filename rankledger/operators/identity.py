@@ -53,23 +53,29 @@ def similar_pairs(people: DataFrame, block: str, name: str, person: str) -> Data
     """(left, right) of one block whose different names are at least 98 % alike, left being the smaller id.
 
     Such names have 49 characters or more, and a shorter one of m characters is at most d = m / 49 edits away from the
-    longer one: cut into d + 1 segments, one of them stands unchanged in the other, at most d places off. So segments
-    are indexed by (block, m, position) and probed by substrings; no two names of a block meet without a common segment.
+    longer one. Cut into d + 1 segments, one of them stands unchanged in the other with at most as many edits before it
+    as there are segments before it, and as many behind it as behind, so segment i is looked for at most i places off the
+    begin and at most d - i off the end. Segments of (block, m, i) meet as 64-bit hashes, beside which only the hash of
+    the row is carried; names are joined to the rows that met, and compared. The joins are sorted by hint: Spark's sizes
+    know neither how many rows an explode makes nor how long a name is, and it would broadcast what the driver cannot hold.
     """
     longs = people.where(F.char_length(name) >= 49).select(F.col(person).alias("_id"), F.col(block).alias("_b"), F.col(name).alias("_n")).distinct()
+    longs = longs.withColumn("_v", F.xxhash64("_id", "_b", "_n"))
     edits = lambda m: F.floor(m / 49).cast("int")
-    begin = lambda m, i: F.floor(i * m / (edits(m) + 1)).cast("int")
-    size = F.char_length("_n")
-    indexed = longs.select("_id", "_b", "_n", size.alias("_m"), F.explode(F.sequence(F.lit(0), edits(size))).alias("_i"))
-    indexed = indexed.select(F.col("_id").alias("_l"), "_b", F.col("_n").alias("_ln"), "_m", "_i", F.substring("_n", begin(F.col("_m"), F.col("_i")) + 1, begin(F.col("_m"), F.col("_i") + 1) - begin(F.col("_m"), F.col("_i"))).alias("_s"))
-    probes = longs.select("_id", "_b", "_n", F.explode(F.sequence(F.greatest(size - edits(size), F.lit(49)), size)).alias("_m"))
-    probes = probes.select("_id", "_b", "_n", "_m", F.explode(F.sequence(F.lit(0), edits(F.col("_m")))).alias("_i"))
-    probes = probes.select("_id", "_b", "_n", "_m", "_i", F.explode(F.sequence(-edits(F.col("_m")), edits(F.col("_m")))).alias("_o"))
-    at = begin(F.col("_m"), F.col("_i")) + F.col("_o")
-    probes = probes.where(at >= 0).select(F.col("_id").alias("_r"), "_b", F.col("_n").alias("_rn"), "_m", "_i", F.substring("_n", at + 1, begin(F.col("_m"), F.col("_i") + 1) - begin(F.col("_m"), F.col("_i"))).alias("_s"))
-    pairs = indexed.join(probes, ["_b", "_m", "_i", "_s"]).where("_l <> _r AND _ln <> _rn")
-    pairs = pairs.select(F.least("_l", "_r").alias("left"), F.greatest("_l", "_r").alias("right"), "_ln", "_rn").where(similar_98(F.col("_ln"), F.col("_rn")))
-    return pairs.select("left", "right").distinct()
+    begin = lambda i: F.floor(i * F.col("_m") / (edits(F.col("_m")) + 1)).cast("int")
+    size, i, d = F.char_length("_n"), F.col("_i"), edits(F.col("_m"))
+    segment = lambda at: F.xxhash64("_b", "_m", "_i", F.substring("_n", at + 1, begin(i + 1) - begin(i))).alias("_k")
+    indexed = longs.select("_v", "_b", "_n", size.alias("_m")).select("*", F.explode(F.sequence(F.lit(0), d)).alias("_i"))
+    indexed = indexed.select(F.col("_v").alias("_l"), segment(begin(i)))
+    probes = longs.select("_v", "_b", "_n", F.explode(F.sequence(F.greatest(size - edits(size), F.lit(49)), size)).alias("_m"))
+    more = size - F.col("_m")
+    probes = probes.where(more <= d).select("*", F.explode(F.sequence(F.lit(0), d)).alias("_i"))
+    probes = probes.select("*", F.explode(F.sequence(F.greatest(-i, more - d + i), F.least(i, more + d - i))).alias("_o"))
+    probes = probes.select(F.col("_v").alias("_r"), segment(begin(i) + F.col("_o")))
+    met = indexed.hint("merge").join(probes, "_k").where("_l <> _r").select(F.least("_l", "_r").alias("_l"), F.greatest("_l", "_r").alias("_r")).distinct()
+    side = lambda v, s: longs.select(F.col("_v").alias(v), F.col("_id").alias(f"_{s}id"), F.col("_b").alias(f"_{s}b"), F.col("_n").alias(f"_{s}n")).hint("merge")
+    pairs = met.join(side("_l", "l"), "_l").join(side("_r", "r"), "_r").where("_lb = _rb AND _lid <> _rid AND _ln <> _rn").where(similar_98(F.col("_ln"), F.col("_rn")))
+    return pairs.select(F.least("_lid", "_rid").alias("left"), F.greatest("_lid", "_rid").alias("right")).distinct()
 
 
 def similar_across(people: DataFrame, scope: str, name: str, person: str) -> DataFrame:
@@ -83,7 +89,7 @@ def similar_across(people: DataFrame, scope: str, name: str, person: str) -> Dat
     one = F.lit(0).alias("_b")
     near = similar_pairs(named.select("_name", F.col("_name").alias("_key"), one), "_b", "_name", "_key").toDF("_name", "_other")
     a, b = named.select("_name", F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi")), named.select(F.col("_name").alias("_other"), F.col("_lo").alias("_blo"), F.col("_hi").alias("_bhi"))
-    met = near.join(a, "_name").join(b, "_other").where("NOT (_alo = _ahi AND _blo = _bhi AND _alo = _blo)")
+    met = near.join(a.hint("merge"), "_name").join(b.hint("merge"), "_other").where("NOT (_alo = _ahi AND _blo = _bhi AND _alo = _blo)")
     return equal.unionByName(met.select("_name", "_other", F.lit(2).cast("bigint").alias("_n"))).toDF("name", "other", "scopes")
 
 

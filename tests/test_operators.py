@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankledger.operators import arbitration, checks, identity, scoring, standings, store, views
+from rankledger.runtime import store as stored
 
 
 def test_scoring_table(spark):
@@ -90,6 +91,16 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want and len(want) > 5
 
 
+def test_similar_across_broadcasts_nothing_that_was_exploded(spark):
+    r = random.Random(5)
+    names = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in range(49, 200)]
+    twins = [n[:20] + "z" + n[20:] for n in names]
+    people = stored(spark.createDataFrame([(n, s, s + n) for s, side in (("s", names), ("t", twins)) for n in side], "name string, school string, id string"), "across").df
+    found = identity.similar_across(people, "school", "name", "id")
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()  # Spark's guess of sizes says that all of them are small
+    assert {(x["name"], x["other"], x["scopes"]) for x in found.collect()} == {(*sorted(p), 2) for p in zip(names, twins)}
+
+
 def test_edges(spark):
     e = spark.createDataFrame([("a", "b"), ("c", "d"), ("c", "e")], "x string, y string")
     assert [(r["x"], r["y"]) for r in identity.mutual_unique(e, "x", "y").collect()] == [("a", "b")]
