@@ -13,7 +13,7 @@ from .variants import similar_words, star_clusters, tune_bands, words_in_scopes
 
 #: Least q-gram similarity of words that banding must not miss, and the share of such pairs it must find: schools have
 #: one own name of two words; persons have two words or more, each of which makes the person a candidate, as do
-#: neighbouring words run together.
+#: neighbouring words run together. Those of persons have no use while words_in_scopes compares all pairs.
 SCHOOL_JACCARD, SCHOOL_RECALL, SCHOOL_HASHES = 0.6, 0.985, 128
 PERSON_JACCARD, PERSON_RECALL = 0.5, 0.95
 #: Least edit similarity of two words that make a candidate, and least Monge-Elkan scores of a link.

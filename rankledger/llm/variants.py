@@ -5,7 +5,7 @@
    bands reach the wanted recall at the least similarity within a number of hashes.
 2. Words of the same scope (a school, or none) that share a band are candidates; a word pair stays if its edit
    similarity is high enough. The band hash carries the scope, so a scope with a third of all rows is split by bands.
-   ``words_in_scopes`` needs no bands, and misses nothing, in scopes of few words: there all word pairs are candidates.
+   ``words_in_scopes`` needs no bands, and misses nothing: all word pairs of a scope are candidates, whatever its size.
 3. Spellings and listed names that share such a word are compared by Monge-Elkan: every word's best partner, averaged
    with the words' lengths as weights, in both directions.
 4. Star clustering with the listed entities as centres: each spelling joins the centre of the highest score. Two
@@ -171,7 +171,7 @@ def with_letters(side: DataFrame) -> DataFrame:
     return side.select("scope", "word", "weak").mapInArrow(run, f"scope {kind}, word string, weak boolean, _m bigint")
 
 
-#: Most word pairs of a scope that are compared without bands.
+#: Most word pairs of a scope that are compared in one piece; larger scopes are cut, not compared otherwise.
 ALL_PAIRS = 4_000_000
 
 
@@ -182,6 +182,13 @@ def _measured(side: DataFrame, name: str, least: float, strict: float) -> DataFr
     return with_letters(side).select("scope", F.col("word").alias(name), n.alias(f"_n{name}"), F.col("_m").alias(f"_m{name}"), F.when(F.col("weak"), -1).otherwise(edits(strict)).alias(f"_s{name}"), edits(least).alias(f"_e{name}"))
 
 
+def _in_pieces(side: DataFrame, large: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """Each word at its place along ``own``, once for every place along ``other``; scopes that are not large are one piece."""
+    cut = side.join(large, "scope", "left")
+    at = F.pmod(F.xxhash64(name), F.coalesce(f"_k{own}", F.lit(1))).cast("int")
+    return cut.select(*side.columns, at.alias(f"_{own}"), F.explode(F.sequence(F.lit(0), F.coalesce(f"_k{other}", F.lit(1)) - 1)).alias(f"_{other}"))
+
+
 #: Two words are alike if their plain edits fit in _e, or if they have two swapped letters and one edit fits.
 _EDITS = "IF(least(_sl, _sr) < 0, greatest(_el, _er), greatest(_sl, _sr))"
 _MAY = f"abs(_nl - _nr) <= {_EDITS} AND bit_count(_ml & ~_mr) <= {_EDITS} AND bit_count(_mr & ~_ml) <= {_EDITS}"
@@ -189,22 +196,24 @@ _ALIKE = f"levenshtein(l, r, {_EDITS}) >= 0 OR ({_EDITS} = 1 AND _nl = _nr AND l
 
 
 def words_in_scopes(left: DataFrame, right: DataFrame, bands: int, rows: int, least: float, strict: float, all_pairs: int = ALL_PAIRS) -> list[Stored]:
-    """``similar_words`` for many scopes: all word pairs of a scope are compared up to ``all_pairs``, banded ones beyond.
+    """Stored (scope, l, r) of many scopes: all word pairs of a scope are compared, in pieces of about ``all_pairs`` each.
 
     Inputs are distinct (scope, word, weak); pairs without a weak word need the ``strict`` similarity, others ``least``.
+    A large scope is a grid of pieces that are compared in different tasks: every pair meets in one of them, so the
+    result is the same whatever the sizes. ``bands`` and ``rows`` have no use: bands miss pairs, however many there are.
     """
+    most = max(math.isqrt(all_pairs), 1)
     count = lambda side, name: side.groupBy("scope").agg(F.count(F.lit(1)).alias(name))
-    sizes = count(left, "_nl").join(count(right, "_nr"), "scope")
-    large = store(sizes.where(F.col("_nl") * F.col("_nr") > all_pairs).select("scope"), "large-scopes")
-    some = not large.df.isEmpty()
-    of = lambda side, how: side.join(large.df, "scope", how)
-    l, r = (of(left, "left_anti"), of(right, "left_anti")) if some else (left, right)  # noqa: E741
-    pairs = _measured(l, "l", least, strict).join(_measured(r, "r", least, strict), "scope").where(_MAY).where(_ALIKE)
-    found = [store(pairs.select("scope", "l", "r"), "near-words")]
-    if some:
-        found.append(similar_words(of(left, "left_semi").drop("weak"), of(right, "left_semi").drop("weak"), bands, rows, least))
+    sizes = count(left, "_nl").join(count(right, "_nr"), "scope").where(F.col("_nl") * F.col("_nr") > all_pairs)
+    pieces = lambda n: F.ceil(F.col(n) / most).cast("int")
+    large = store(sizes.select("scope", pieces("_nl").alias("_ka"), pieces("_nr").alias("_kb")), "large-scopes")
+    l, r, on = _measured(left, "l", least, strict), _measured(right, "r", least, strict), ["scope"]  # noqa: E741
+    if not large.df.isEmpty():
+        on = ["scope", "_a", "_b"]
+        l, r = (x.repartition(parallelism(left.sparkSession), *on) for x in (_in_pieces(l, large.df, "l", "a", "b"), _in_pieces(r, large.df, "r", "b", "a")))  # noqa: E741 - by number, since pieces are few bytes that Spark would put into one task
+    found = store(l.join(r, on).where(_MAY).where(_ALIKE).select("scope", "l", "r"), "near-words")
     large.drop()
-    return found
+    return [found]
 
 
 def star_clusters(scored: DataFrame, node: str, centre: str, score: str, label: str, margin: float = 1e-9) -> DataFrame:

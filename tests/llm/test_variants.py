@@ -134,6 +134,16 @@ def test_words_of_large_scopes_are_banded(spark):
     assert found <= {tuple(r) for n in words_in_scopes(left, right, 23, 3, 0.6, 0.76) for r in n.df.collect()}
 
 
+def test_word_pairs_do_not_depend_on_the_size_of_a_scope(spark):
+    r = random.Random(9)
+    words = lambda n: [("".join(r.choice("abcde") for _ in range(r.randrange(2, 11))), r.random() < 0.3) for _ in range(n)]
+    side = lambda *sizes: spark.createDataFrame([(f"s{i}", w, k) for i, n in enumerate(sizes) for w, k in dict(words(n)).items()], "scope string, word string, weak boolean")
+    left, right = side(90, 8, 130, 0), side(110, 9, 5, 40)
+    pairs = lambda **most: sorted(tuple(x) for n in words_in_scopes(left, right, 23, 3, 0.6, 0.76, **most) for x in n.df.collect())
+    whole = pairs()
+    assert pairs(all_pairs=100) == whole and pairs(all_pairs=1) == whole and len(whole) > 50
+
+
 def test_word_pairs_against_edit_distances(spark):
     r = random.Random(4)
     words = sorted({"".join(r.choice("abcdé") for _ in range(r.randrange(2, 11))) for _ in range(150)} | {"marlow", "malrow", "marlo", "wolram", "zzz", "aaaaaaaa", "aaaa"})
